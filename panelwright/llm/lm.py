@@ -116,7 +116,7 @@ def _scatter(index: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((index[:, None] * d + np.arange(d)).ravel(), grad.ravel(), n * d).reshape(n, d)
 
 
-def train(model: Model, streams, noise_p: np.ndarray, noise: int = 24, batch: int = 4096, rate: float = 0.15, seed: int = 3) -> int:
+def train(model: Model, streams, noise_p: np.ndarray, noise: int = 16, batch: int = 1024, rate: float = 0.3, seed: int = 3) -> int:
     """One pass of noise-contrastive estimation with adaptive steps, in place; the tokens seen."""
     rng, k = np.random.default_rng(seed), model.out.shape[0]
     log_noise = np.log(noise_p * noise).astype(np.float32)
@@ -126,16 +126,18 @@ def train(model: Model, streams, noise_p: np.ndarray, noise: int = 24, batch: in
         seen += grad * grad
         x += rate * grad / np.sqrt(seen)
 
-    total = 0
+    total, share = 0, np.cumsum(noise_p)
+    share /= share[-1]
     for one, two, word in streams:
+        drawn = np.searchsorted(share, rng.random((len(word) // batch + 1, noise)), side="right")
         for at in range(0, len(word), batch):
             a, b, w = one[at : at + batch], two[at : at + batch], word[at : at + batch]
             q = model.query(a, b)
-            fake = rng.choice(k, noise, p=noise_p)
+            fake = drawn[at // batch]
             real = np.einsum("ij,ij->i", q, model.out[w]) + model.bias[w] - log_noise[w]
             sham = q @ model.out[fake].T + model.bias[fake] - log_noise[fake]
             up = 1 / (1 + np.exp(np.minimum(real, 30)))
-            down = -1 / (1 + np.exp(-np.maximum(sham, -30)))
+            down = 1 / (-1 - np.exp(np.minimum(-sham, 30)))
             gq = up[:, None] * model.out[w] + down @ model.out[fake]
             go = _scatter(w, up[:, None] * q, k) + _scatter(fake, down.T @ q, k)
             gb = np.bincount(w, up, k) + np.bincount(fake, down.sum(0), k)
