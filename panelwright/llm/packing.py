@@ -159,9 +159,11 @@ def pack(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_id
     path = tokenizer or vocabulary()
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 32)).alias("salt"))
+    # another hash than the salt's, which is part of the key
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 32))
     n = docs.count()
     # some of many rows, by their hash; each key is computed as in the main pass
-    some = rows.where(F.col("salt") < F.lit(int(min(1.0, 1.5 * sample / max(1, n)) * (1 << 32)))).limit(2 * sample).repartition(8, "salt")
+    some = rows.where(drawn < F.lit(int(min(1.0, 1.5 * sample / max(1, n)) * (1 << 32)))).limit(2 * sample).repartition(8, "salt")
     keys = np.sort(some.mapInArrow(partial(_keyed, path=path, end_id=end_id, bounds=None, keys_only=True), "key long").toPandas()["key"].to_numpy(np.int64))
     bounds = np.unique(keys[[len(keys) * k // parts for k in range(1, parts)]]) if len(keys) else keys
     kind = docs.schema[id_col].dataType.simpleString()

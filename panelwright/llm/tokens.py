@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
-#: Entries of each generation of the cache.
-CACHE = 300_000
+#: Entries of each of two generations of the cache of chunks, and of that of their parts.
+CACHE, PARTS = 300_000, 700_000
+#: A chunk as lower-case Latin-1 letters (one part, in normal form), stops and commas, and what is neither.
+SPLIT = re.compile(r"([a-zß-öø-ÿ]*+)([.,]*+)(.*+)\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,13 +50,7 @@ class WordTokenizer:
         self.old: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _split(self, chunk: str) -> tuple[str, str] | None:
-        core = chunk.rstrip(".,")
-        if core.isalpha() and max(core) < "Ā":
-            return core.lower(), chunk[len(core) :]
-        return None
-
-    def _learn_parts(self, cores: list[str]) -> None:
+    def _learn_plain(self, cores: list[str]) -> None:
         for at in range(0, len(cores), 2000):
             some = cores[at : at + 2000]
             joined = " ".join(c.translate(self.letters) for c in some)
@@ -66,47 +63,57 @@ class WordTokenizer:
                 self.parts[c] = data[2 * last : 2 * e]
                 last = e
 
+    def _learn_whole(self, texts: list[str]) -> None:
+        for at in range(0, len(texts), 2000):
+            some = texts[at : at + 2000]
+            for t, e in zip(some, self.full.encode_batch_fast(some, add_special_tokens=False)):
+                self.parts[t] = np.array(e.ids, "<u2").tobytes()
+
     def _learn(self, chunks: set[bytes]) -> None:
-        found, split, slow = self.young, {}, []
-        for w in chunks:
-            if (x := self.old.get(w)) is not None:
-                found[w] = x
-                continue
-            text = w.decode("utf-8", "replace")
-            if self.fast is not None and (s := self._split(text)):
-                split[w] = s
+        """Put chunks into the cache: from its older half, from their parts, or from the tokenizer."""
+        known, old, parts = self.young, self.old, self.parts
+        for w in chunks & old.keys():
+            known[w] = old[w]
+        rest = list(chunks - known.keys())
+        if len(parts) > PARTS:
+            parts.clear()
+        split = SPLIT.findall(b"\n".join(rest).decode("utf-8", "replace") + "\n")
+        core_new, whole_new = {}, {}
+        for core, tail, more in split:
+            if more or not core or self.fast is None:
+                whole_new[core + tail + more] = None
+            else:
+                if core not in parts:
+                    core_new[core] = None
+                if tail and tail not in parts:
+                    whole_new[tail] = None
+        self._learn_plain(list(core_new))
+        self._learn_whole(list(whole_new))
+        for w, (core, tail, more) in zip(rest, split):
+            if more or not core or self.fast is None:
+                known[w] = parts[core + tail + more]
             else:
-                slow.append((w, text))
-        if len(self.parts) > 2 * CACHE:
-            self.parts = {}
-        self._learn_parts([c for c in dict.fromkeys(x for s in split.values() for x in s if x.isalpha()) if c not in self.parts])
-        tails = {t for _, t in split.values() if t and t not in self.parts}
-        for texts, put in (([t for t in tails], self.parts), ([t for _, t in slow], None)):
-            for at in range(0, len(texts), 2000):
-                for k, e in enumerate(self.full.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)):
-                    data = np.array(e.ids, "<u2").tobytes()
-                    if put is None:
-                        found[slow[at + k][0]] = data
-                    else:
-                        put[texts[at + k]] = data
-        for w, (core, tail) in split.items():
-            found[w] = self.parts[core] + self.parts[tail] if tail else self.parts[core]
+                known[w] = parts[core] + parts[tail] if tail else parts[core]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         out, at = [], 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and size < 1 << 22:
+            while end < len(texts) and size < 1 << 20:
                 size += len(texts[end])
                 end += 1
-            chunks = [t.split() for t in texts[at:end]]
             if len(self.young) > CACHE:
                 self.young, self.old = {}, self.young
-            known = self.young
-            missing = {w for c in chunks for w in c if w not in known}
-            if missing:
-                self._learn(missing)
-            out += [b"".join([known[w] for w in c]) for c in chunks]
+            # white space and A-Z don't matter to the vocabulary, but for special tokens, which are written as they are
+            chunks = [(t if b"<|" in t else t.lower()).split() for t in texts[at:end]]
+            get = self.young.get
+            found = [list(map(get, c)) for c in chunks]
+            gaps = [k for k, f in enumerate(found) if None in f]
+            if gaps:
+                self._learn({w for k in gaps for w, x in zip(chunks[k], found[k]) if x is None})
+                for k in gaps:
+                    found[k] = list(map(get, chunks[k]))
+            out += map(b"".join, found)
             at = end
         return out
 
