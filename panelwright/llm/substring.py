@@ -144,6 +144,8 @@ def remove_repeats(docs: DataFrame, min_unit_words: int = 4, min_run_words: int
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(partial(_units, min_words=min_unit_words), f"doc_id {kind}, pos int, n_words int, digest binary")
     found = checkpointed(found.select("doc_id", "pos", "digest"))
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").drop("n")
+    # written, so that the join below reads plain exchanges, whose hot keys can be split
+    first = checkpointed(first)
     later = found.join(first, "digest").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     marked = later.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("pos").alias("__repeated"))
     names = ["text" if c == text_col else c for c in docs.columns]
