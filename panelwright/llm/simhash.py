@@ -233,8 +233,12 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component: the one that names it, once if its row repeats."""
+    """One document of each component: the one that names it, once if its row repeats.
+
+    Documents without an id can't name a component; they are kept as they are.
+    """
     groups = near_duplicates(docs, id_col=id_col, **options)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id"))
-    on = F.coalesce(F.col(id_col).cast("string"), F.lit("")) == F.coalesce(F.col("__keep_id").cast("string"), F.lit(""))
-    return docs.join(keep, on, "left_semi").dropDuplicates([id_col])
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id"))
+    # the join deals rows by id, which the removal of repeated ids needs too
+    named = docs.join(keep, F.col(id_col) == F.col("__keep_id"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,0 +1,206 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
+
+import io
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelwright.llm import chat, classifier, gif, lengths, lm, mixing, packing, rules, simhash, substring
+from panelwright.llm.common import table
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def labels_of(spark, rows=((4, 1, 0), (6, 0, 0), (6, None, None), (None, 1, 0), (8, 0, 0), (9, 1, 1))):
+    return spark.createDataFrame(list(rows), LABELS)
+
+
+OPERATORS = {
+    "rules": lambda d: rules.quality_rules(d),
+    "classifier": lambda d: classifier.score(d, labels_of(d.sparkSession), ["doc_id"]),
+    "packing": lambda d: packing.pack(d).where("start = 0"),
+    "lm": lambda d: lm.score(d),
+    "media": lambda d: gif.films(d),
+    "simhash": lambda d: simhash.near_duplicates(d),
+    "substring": lambda d: substring.remove_repeats(d),
+    "mixing": lambda d: mixing.mix(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+@pytest.mark.parametrize("kind", ["edge", "clash", "empty"])
+def test_rows_in_rows_out(name, kind, edge, clash):
+    docs = {"edge": edge, "clash": clash, "empty": edge.limit(0)}[kind]
+    rows = OPERATORS[name](docs).collect()
+    assert len(rows) == (0 if kind == "empty" else 11)
+
+
+def test_values_on_edges(edge):
+    kept = {r.doc_id: r for r in rules.quality_rules(edge).collect()}
+    assert [kept[i].n_words for i in (1, 2, 3, 6, 8)] == [0, 0, 0, 1, 30000] and kept[8].n_repeat_words == 30000
+    prints = {r.doc_id: r for r in simhash.near_duplicates(edge).collect()}
+    assert {prints[i].fingerprint for i in (1, 2, 3)} == {"0" * 16} and {prints[i].component_id for i in (1, 2, 3)} == {1} and prints[5].component_id == 4
+    lengths_ = {r.doc_id: r.doc_tokens for r in packing.pack(edge).where("start = 0").collect()}
+    assert lengths_[1] == lengths_[2] == lengths_[3] == 1 and lengths_[8] == 30001
+    films = {r.doc_id: r for r in gif.films(edge).collect()}
+    assert films[1].payload_bytes == 192 and films[1].media_sha256 == films[2].media_sha256 and films[6].n_bytes == 1
+    scores = {r.doc_id: r for r in lm.score(edge).collect()}
+    assert scores[1].n_tokens == scores[2].n_tokens == 1 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in scores.values())
+    assert scores[6].n_tokens == 2
+    mixed = {r.doc_id: r for r in mixing.mix(edge).collect()}
+    assert mixed[1].size == 0 == mixed[1].taken and mixed[8].size == 30000
+    h = {r.tokens: r.n_docs for r in lengths.length_histogram(edge).collect()}
+    assert h[0] == 3 and sum(h.values()) == 11 and lengths.length_answers(lengths.length_histogram(edge.limit(0))).isEmpty()
+
+
+def test_untrainable_tables(spark, edge, docs_of):
+    s = classifier.score(edge, labels_of(spark, []), ["doc_id"]).collect()
+    assert len(s) == 11 and all(0 <= r["__score"] <= 1 for r in s)
+    only_held_out = docs_of([(i, "a b") for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 10 == 0])
+    rows = lm.score(only_held_out).collect()
+    assert rows and all(r.train_tokens == 0 == r.n_known and math.isfinite(r.score) for r in rows)
+
+
+def test_keep_one(edge, docs_of):
+    kept = simhash.keep_one(edge)
+    assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 6, 7, 8, 9]
+
+
+def test_vantage_trees_lose_no_link():
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 1 << 63, 3000, np.uint64) << np.uint64(1)
+    near = points[:600] ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64))
+    clump = points[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
+    points = np.unique(np.concatenate((points, near, clump)))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(points[:, None] ^ points[None]) <= 4, 1)))}
+    for levels in (0, 3, 6):
+        tree = simhash.build_tree(points[rng.integers(0, len(points), 200)], levels)
+        met, homes = set(), np.zeros(len(points), int)
+        for _, own, ghosts in simhash.route(tree, points, 4):
+            homes[own] += 1
+            every = np.concatenate((own, ghosts))
+            if len(own):
+                a, b = np.nonzero(np.bitwise_count(points[own][:, None] ^ points[every][None]) <= 4)
+                met |= {tuple(sorted((int(own[x]), int(every[y])))) for x, y in zip(a, b) if own[x] != every[y]}
+        assert met == want and (homes == 1).all()
+    label = simhash.forest(points, len(points), 4)
+    brute = simhash.unite(np.arange(len(points)), *map(np.array, zip(*want)))
+    assert (label == brute).all()
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (5, 5)]
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert {roots[i] for i in range(201)} == {0} and {roots[i] for i in (1000, 1001, 1002)} == {1000}
+
+
+def test_hilbert_is_one_walk():
+    grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    key = packing.hilbert(grid, 3)
+    assert sorted(key) == list(range(512)) and (np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_tokens_are_exact():
+    from tokenizers import Tokenizer
+
+    from panelwright.llm.tokens import WordTokenizer, vocabulary
+
+    import random
+
+    rnd, letters = random.Random(1), "abAB éÉßİıſµªº.,'’…0١\n\t́̇<|>\x85\xa0"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(1500)] + ["a<|endoftext|>B", "A<|ENDOFTEXT|>", "", "it's 12.5% don't."]
+    whole, own = Tokenizer.from_file(vocabulary()), WordTokenizer(vocabulary())
+    for t, ids in zip(texts, own.ids([t.encode() for t in texts])):
+        assert whole.encode(t, add_special_tokens=False).ids == np.frombuffer(ids, "<u2").tolist(), t
+
+
+def test_gif_round_trip():
+    rng = np.random.default_rng(2)
+    for bits, n in ((8, 0), (8, 1), (8, 50_000), (2, 9999), (4, 20_000)):
+        data = rng.integers(0, 1 << bits, n).astype(np.uint8).tobytes() + bytes(n)
+        assert gif.lzw_decode(gif.lzw_encode(data, bits), bits, len(data)) == data
+    palette = rng.integers(0, 256, (200, 3)).astype(np.uint8)
+    frames = [gif.Frame(rng.integers(0, 200, (5, 7)), 1, 2, 70, k % 4, 3 if k % 2 else None, palette[:16] if k == 2 else None) for k in range(4)]
+    frames[2].indices %= 16
+    back = gif.decode(gif.encode(gif.Image(9, 8, palette, 0, frames)))
+    for a, b in zip(frames, back.frames):
+        assert (a.indices == b.indices).all() and (a.left, a.top, a.delay_ms, a.disposal, a.transparent) == (b.left, b.top, b.delay_ms, b.disposal, b.transparent)
+
+
+def test_gif_against_another_decoder():
+    image = pytest.importorskip("PIL.Image")
+    data = b"some text, some text again; " * 400
+    kept = gif.store(gif.payload(data))
+    film = image.open(io.BytesIO(kept))
+    assert film.n_frames == len(gif.decode(kept).frames)
+
+
+def test_gif_disposal():
+    one, two = np.zeros((2, 2), int), np.ones((1, 1), int)
+    palette = np.array([[10, 20, 30], [200, 0, 0]], np.uint8)
+    shown = lambda d, t=None: list(gif.canvases(gif.Image(2, 2, palette, 0, [gif.Frame(one), gif.Frame(two, 0, 0, 0, d, t), gif.Frame(two, 1, 1)])))[-1]
+    assert shown(1)[0, 0].tolist() == [200, 0, 0, 255] and shown(2)[0, 0].tolist() == [0, 0, 0, 0] and shown(3)[0, 0].tolist() == [10, 20, 30, 255]
+    assert shown(1, 1)[0, 0].tolist() == [10, 20, 30, 255]
+    assert not list(gif.decode(gif.encode(gif.Image(1, 1, palette))).frames)
+
+
+def test_decoded_frames(spark):
+    whole = gif.encode(gif.Image(2, 1, np.array([[0, 0, 0], [255, 255, 255]], np.uint8), 0, [gif.Frame(np.array([[0, 1]]), delay_ms=50), gif.Frame(np.array([[1, 1]]), delay_ms=30)]))
+    rows = gif.decode_frames(spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(b"no")), (3, None), (4, bytearray(whole[:40]))], "doc_id long, media binary")).collect()
+    one = [r for r in rows if r.doc_id == 1]
+    assert [(r["index"], r.start_ms, r.histogram[0], r.histogram[63]) for r in one] == [(0, 0, 1, 1), (1, 50, 0, 2)]
+    assert {r.doc_id for r in rows if r.error} >= {2, 3}
+
+
+def test_escapes(spark):
+    texts = ["<|im_end|>", r"<\|im_end|>", r"<\\|x", "<", "|", "", r"\n", "a\\", "<|<|", "<\n|"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", chat.unescape(chat.escape(F.col("t"))).alias("u"), chat.unescape_role(chat.escape_role(F.col("t"))).alias("r"), chat.escape(F.col("t")).alias("e"), chat.escape_role(F.col("t")).alias("er")
+    )
+    for r in df.collect():
+        assert r.t == r.u == r.r and "<|" not in r.e and "\n" not in r.er
+
+
+def test_reply_trees(spark):
+    # 1 > 2 > 4 and 1 > 3; 5 is a root of its own; 7's parent does not exist
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 3, 1, "assistant", "b", 5.0), ("t", 4, 2, "user", "c", 1.0), ("u", 5, None, "user", None, None), ("t", 7, 99, None, "z", 0.5)]
+    nodes = spark.createDataFrame(rows, "tree_id string, node_id long, parent_id long, role string, text string, score double")
+    best = {r.tree_id: r for r in chat.format_paths(nodes).collect()}
+    assert best["t"].leaf_id == 3 and best["t"].formatted == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n" and best["u"].n_turns == 1
+    three = {(r.tree_id, r["rank"]): r.leaf_id for r in chat.format_paths(nodes, top=3).collect()}
+    assert three == {("t", 1): 3, ("t", 2): 4, ("t", 3): 7, ("u", 1): 5}
+    assert chat.format_paths(nodes.limit(0)).isEmpty()
+
+
+def test_deep_tree(spark):
+    n = 700
+    nodes = spark.range(n).selectExpr("1L AS tree_id", "id AS node_id", "IF(id > 0, id - 1, NULL) AS parent_id", "'user' AS role", "CAST(id AS STRING) AS text", "0.0D AS score")
+    r = chat.format_paths(nodes).select("n_turns", chat.read_back(F.col("formatted")).alias("t")).first()
+    assert r.n_turns == n and [x.text for x in r.t] == [str(i) for i in range(n)]
+
+
+def test_mix_copies(docs_of):
+    docs = docs_of([(i, "w " * (i % 7 + 1), "en", f"s{i % 3}") for i in range(90)] + [(200, None, None, None)])
+    mixed = mixing.mix(docs)
+    taken = {r.doc_id: r.taken for r in mixed.collect()}
+    rows = mixing.apply_mix(mixed)
+    assert {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.sum(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), " "), ""))).alias("n")).collect()} == {k: v for k, v in taken.items() if v or k == 200}
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs, sizes = table(spark, sf, "documents"), []
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        assert k == 4 or out.columns == columns
+        docs = out.checkpoint()
+        sizes.append(docs.count())
+    assert 200 >= sizes[0] >= sizes[1] == sizes[2] > 0
+    assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
+    empty = table(spark, sf, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).isEmpty()

@@ -1,0 +1,214 @@
+"""The registered queries: against SQL, against brute force, and on edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from conftest import same_rows
+
+from panelwright.llm import queries
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in SPACE.split(text or "") if w]
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, duck, name):
+    same_rows(queries.queries()[name](spark, sf).toPandas(), duck.execute(queries.oracle_sql()[name]).df())
+
+
+@pytest.fixture(scope="module")
+def texts(some):
+    return {r.doc_id: r.text for r in some.collect()}
+
+
+def test_rules_by_hand(docs_of):
+    from panelwright.llm.rules import quality_rules
+
+    rows = [(1, "a b c a b c"), (2, "a a a a"), (3, "x y z x y q"), (4, "#a\n\n#a\n \n#a"), (5, None), (6, "a b"), (7, "a b c d a b c")]
+    got = {r.doc_id: r for r in quality_rules(docs_of(rows)).collect()}
+    assert [got[i].n_repeat_words for i in range(1, 8)] == [6, 4, 0, 0, 0, 0, 6]
+    assert got[4].n_dup_lines == 2 and got[4].n_symbols == 3 and got[4].word_chars == 6 and got[5].n_words == 0
+    assert all(r.base_failed and not r.kept for r in got.values())
+
+
+def test_rules_keep_prose(some):
+    from panelwright.llm.rules import quality_rules
+
+    labels = some.sparkSession.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = some.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality_rules(docs).where("NOT base_failed").join(labels, "doc_id").toPandas()
+    assert rows[rows.quality == 1].kept.mean() > 0.98 and rows[rows.quality == 0].kept.mean() < 0.3
+
+
+def test_classifier_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op2_quality_classifier(spark, sf).toPandas()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    assert len(got) == 1000 and got.score.between(0, 1).all()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    held = got[got.held_out].merge(labels, on="doc_id")
+    assert (held.predicted == held.quality).mean() > 0.9 and (held[held.quality == 1].predicted == 1).mean() > 0.95
+    again = queries.op2_quality_classifier(spark, sf).toPandas().set_index("doc_id").score
+    assert np.allclose(got.set_index("doc_id").score.sort_index(), again.sort_index(), atol=1e-6)
+
+
+def test_simhash_against_all_pairs(spark, some, texts):
+    got = queries.op8_simhash_near_dedup(spark, "/root/testdata/sf0.001").toPandas().set_index("doc_id")
+    prints = {}
+    for i, t in texts.items():
+        w = words(lower(t))
+        grams = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert got.fingerprint[i] == f"{prints[i]:016x}"
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got.component_id.to_dict() == {i: find(i) for i in ids}
+
+
+def test_packing_holds_every_id_once(spark, texts):
+    from tokenizers import Tokenizer
+
+    from panelwright.llm.tokens import vocabulary
+
+    got = queries.op4_packing(spark, "/root/testdata/sf0.001").toPandas().sort_values(["doc_id", "start"])
+    t = Tokenizer.from_file(vocabulary())
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in texts.items()}
+    for i, pieces in got.groupby("doc_id"):
+        assert (pieces.doc_tokens == len(want[i])).all()
+        assert list(pieces.start) == [0, *pieces.length.cumsum()[:-1]] and pieces.length.sum() == len(want[i])
+        for p in pieces.itertuples():
+            assert zlib.crc32(np.array(want[i][p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
+    assert set(got.doc_id) == set(want)
+    padding = 0
+    for _, s in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert list(s.offset) == [0, *s.length.cumsum()[:-1]]
+        n = s.length.sum()
+        assert n <= 4096
+        padding += 0 if n & (n - 1) == 0 else 4096 - n
+    assert padding == 0
+
+
+def test_lm(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op5_lm_scoring(spark, sf).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    tokens = {i: [*words(lower(t)), "\n"] for i, t in zip(docs.doc_id, docs.text)}
+    count = Counter(w for i, x in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in x)
+    n, v = sum(count.values()), len(count)
+    for i, x in tokens.items():
+        r = got.loc[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(w in count for w in x), n)
+        assert abs(r.base_score - sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)) < 1e-6
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum() * 1.02 and (got.score < 0).all()
+
+
+def test_lm_probabilities_add_up():
+    from panelwright.llm import lm
+
+    counts = np.sort(np.random.default_rng(0).integers(1, 50, 40))[::-1]
+    h = lm.Head({b"%d" % i: i for i in range(40)}, counts, 16, int(counts.sum()), 40)
+    m = lm.initial(h, 8, 0)
+    lm.train(m, [(np.arange(64) % 16, np.arange(64) % 7, np.arange(64) % 16)], h.unigram())
+    every = np.arange(16)
+    lm._PARTITION.clear()
+    p = np.exp(m.query(np.full(16, 3), np.full(16, 5)) @ m.out.T + m.bias - lm._partitions(m, b"k", np.full(16, 3), np.full(16, 5))[:, None])[0]
+    inner = (counts[15:] + 0.1).sum() / h.rest_mass() + 0.1 / h.rest_mass()
+    assert abs(p.sum() - 1) < 1e-5 and abs(inner - 1) < 1e-12 and len(every) == 16
+
+
+def test_media(spark, texts):
+    got = queries.op6_media_columns(spark, "/root/testdata/sf0.001").toPandas().set_index("doc_id")
+    for i, t in texts.items():
+        data = t.encode()
+        padded = data + b" " * (-len(data) % 192 if data else 192)
+        r = got.loc[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+    assert (got.groupby("payload_sha256").feature.nunique() == 1).all()
+
+
+def test_token_counts(spark, texts):
+    from tokenizers import Tokenizer
+
+    from panelwright.llm import lengths
+    from panelwright.llm.tokens import vocabulary
+
+    t = Tokenizer.from_file(vocabulary())
+    n = np.array([len(t.encode(x, add_special_tokens=False).ids) for x in texts.values()])
+    got = queries.op7_token_counts(spark, "/root/testdata/sf0.001").toPandas()
+    assert sorted(got.limit_tokens) == sorted(set(n.tolist()))
+    for r in got.itertuples():
+        assert (r.n_docs, r.docs_within, r.docs_beyond) == ((n == r.limit_tokens).sum(), (n <= r.limit_tokens).sum(), (n > r.limit_tokens).sum())
+        assert (r.tokens_within, r.truncated_tokens, r.total_tokens) == (n[n <= r.limit_tokens].sum(), np.minimum(n, r.limit_tokens).sum(), n.sum())
+    h = spark.createDataFrame(pd.DataFrame(Counter(n.tolist()).items(), columns=["tokens", "n_docs"]))
+    for c in (0, 7, 300, 10**6):
+        assert lengths.truncated_total(h, c).first()[0] == np.minimum(n, c).sum()
+    for q in (0.01, 0.5, 0.9, 1.0):
+        assert lengths.quantile(lengths.length_answers(h, 64), q).first()[0] == np.sort(n)[int(np.ceil(round(q * len(n), 9))) - 1]
+
+
+def test_repeats_against_a_plain_rerun(some, texts):
+    from panelwright.llm import substring
+
+    got = {r.doc_id: r for r in substring.remove_repeats(some.select("doc_id", "text")).collect()}
+    first = {}
+    for i in sorted(texts):
+        for pos, (*_, digest) in enumerate(substring.units(texts[i], 4)):
+            first.setdefault(digest, (i, pos))
+    for i, t in texts.items():
+        found = substring.units(t, 4)
+        gone = substring.removed_units(found, {p for p, u in enumerate(found) if first[u[3]] != (i, p)}, 20)
+        assert got[i].removed_words == sum(found[p][2] for p in gone)
+        assert len(words(got[i].text)) == len(words(t)) - got[i].removed_words
+        for s in got[i].removed:
+            assert len(words(t[s.start : s.start + s.length])) == s.n_words
+
+
+def test_planted_passages(docs_of):
+    from panelwright.llm import substring
+
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    passage = ". ".join(say(9).capitalize() for _ in range(7)) + "."
+    rows = [(i, f"{say(40)}. {say(12)} {passage} {say(30)}.\n{say(25)}.") for i in range(6)]
+    clean = [(10 + i, f"{say(60)}. Yes. {say(40)}.\n{say(12)}.") for i in range(6)]
+    got = {r.doc_id: r for r in substring.remove_repeats(docs_of(rows + clean)).collect()}
+    assert passage in got[0].text and not any(passage[:60] in got[i].text or passage[-60:] in got[i].text for i in range(1, 6))
+    assert all(got[i].text == t for i, t in clean) and all(len(words(got[i].text)) >= 100 for i in range(6))
+
+
+def test_mix_properties(spark, some):
+    got = queries.op10_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().set_index("doc_id")
+    got["source"] = docs.source[got.doc_id].to_numpy()
+    by = got.groupby("source").agg(taken=("taken", "sum"), size=("size", "sum"), target=("target", "first"))
+    assert (by.taken == by.target.round()).all() and (got.taken <= 2 * got["size"]).all()
+    assert abs(by.target.sum() - 1.5 * by["size"].sum()) < 1 and (by.target <= 2 * by["size"] + 1e-3).all()
+    open_ = by[by.target < 2 * by["size"] - 1]
+    weight = pd.Series([(5, 2, 1)[k % 3] for k in range(len(by))], index=sorted(by.index))
+    assert (open_.target / weight[open_.index]).std() < 1e-3
