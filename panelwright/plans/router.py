@@ -95,12 +95,15 @@ class FactorRouter:
         if panel.isEmpty():
             raise ConfigurationError("there are no factors")
         spark, c = panel.sparkSession, self.config
+        kept = panel.persist()  # fingerprints read it four times
         try:
             # a row per factor: the driver holds as many rows as there are factors, and plans built on them don't repeat the fingerprinting
-            found = fingerprint(panel, c.min_window)
+            found = fingerprint(kept, c.min_window)
             self.prints = spark.createDataFrame(found.collect(), found.schema)
         except Exception as e:
             raise PipelineError(f"fingerprinting failed: {e}") from e
+        finally:
+            kept.unpersist()
         classes = classify(self.prints)
         if descriptions is not None:
             classes = fuse(classes, self.prints, descriptions, months)

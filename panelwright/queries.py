@@ -202,12 +202,15 @@ def step_bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three imputed factors: mean discount, mean quantity, and revenue's mean over twelve months, which moves slowly."""
+    """Three imputed factors: mean discount, mean quantity, and revenue's mean over twelve months, which moves slowly.
+
+    Fingerprints read the panel four times, so it is kept.
+    """
     discount = supplier_month(spark, sf_dir)
     quantity = supplier_month(spark, sf_dir, "quantity", F.avg("l_quantity"))
     revenue = impute.impute(supplier_month(spark, sf_dir, "revenue_12m", F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))))
     trailing = F.avg("value").over(Window.partitionBy(*ASSET).orderBy("date").rowsBetween(-11, 0))
-    return combine(impute.impute(discount), impute.impute(quantity), revenue.withColumn("value", trailing))
+    return combine(impute.impute(discount), impute.impute(quantity), revenue.withColumn("value", trailing)).persist()
 
 
 @query
