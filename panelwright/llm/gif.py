@@ -66,30 +66,30 @@ def widths(clear: int, n: int) -> np.ndarray:
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """An LZW code stream; the table is cleared when it is full."""
     clear = 1 << bits
-    codes, runs = [], []
-    at, n = 0, len(data)
-    while at < n:
-        table: dict = {}
-        get, free, start = table.get, clear + 2, len(codes)
-        put, prefix = codes.append, data[at]
-        at += 1
-        while at < n:
-            key = prefix << 8 | data[at]
-            code = get(key)
-            if code is None:
-                put(prefix)
-                if free == 4096:
-                    break
-                table[key] = free
-                free += 1
-                prefix = data[at]
-            else:
+    codes: list[int] = []
+    ends: list[int] = []
+    if data:
+        # keys and values hold codes shifted by a byte, so that the next sample only has to be put in
+        table: dict[int, int] = {}
+        get, put, free, prefix = table.get, codes.append, clear + 2, data[0] << 8
+        for sample in memoryview(data)[1:]:
+            code = get(prefix | sample)
+            if code:
                 prefix = code
-            at += 1
-        else:
+                continue
             put(prefix)
-        runs.append(len(codes) - start)
-    every, marks = np.array(codes, np.int64), [np.array([clear]), np.array([clear + 1])]
+            if free < 4096:
+                table[prefix | sample] = free << 8
+                free += 1
+            else:
+                table.clear()
+                free = clear + 2
+                ends.append(len(codes))
+            prefix = sample << 8
+        put(prefix)
+        ends.append(len(codes))
+    runs = [e - s for s, e in zip([0, *ends], ends)]
+    every, marks = np.array(codes, np.int64) >> 8, [np.array([clear]), np.array([clear + 1])]
     out, size, last, wide = [], [], 0, bits + 1
     for r in runs:
         # the clear code before a run has the width that the run before it came to
@@ -106,11 +106,40 @@ def _next_width(clear: int, run: int) -> int:
 
 
 def pack_codes(codes: np.ndarray, size: np.ndarray) -> bytes:
-    """Codes of given widths as a little-endian bit stream."""
+    """Codes of given widths as a little-endian bit stream; a code touches three bytes at most, and none shares a bit."""
     ends = np.cumsum(size)
-    shift = np.arange(int(size.max()))
-    bit = (codes[:, None] >> shift) & 1
-    return np.packbits(bit[shift < size[:, None]].astype(np.uint8), bitorder="little").tobytes() if ends[-1] else b""
+    begin = ends - size
+    word, at, n = codes << (begin & 7), begin >> 3, int(ends[-1] + 7) >> 3
+    out = sum(np.bincount(at + k, word >> 8 * k & 255, n + 3) for k in range(3))
+    return out[:n].astype(np.uint8).tobytes()
+
+
+def expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The samples that codes between two clear codes stand for.
+
+    Code number i (with i > 0) adds the entry ``clear + 1 + i``: the samples of code
+    i - 1 and the one after them.  So a code above the plain ones copies a stretch
+    of earlier output, and references are followed for all samples at once by doubling.
+    """
+    i = np.arange(len(codes))
+    plain = codes < clear
+    source = np.where(plain, i, codes - clear - 2)
+    if ((source >= i) & ~plain).any() or (source < 0).any():
+        raise ValueError("broken code stream")
+    longer, up = (~plain).astype(np.int64), source
+    while longer[up].any():
+        longer, up = longer + longer[up], up[up]
+    length = longer + 1
+    end = np.cumsum(length)
+    begin = end - length
+    at = np.arange(int(end[-1]) if len(end) else 0)
+    root = at - np.repeat(begin - begin[source], length)
+    while True:
+        further = root[root]
+        if np.array_equal(further, root):
+            break
+        root = further
+    return np.repeat(codes, length)[root].astype(np.uint8)
 
 
 def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
@@ -118,7 +147,6 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
     clear, stop = 1 << bits, (1 << bits) + 1
     padded = np.frombuffer(stream + bytes(8), np.uint8)
     total, at, done, out, size = 8 * len(stream), 0, False, [], 0
-    plain = [bytes([i]) for i in range(clear)] + [b"", b""]
     while not done and at + bits + 1 <= total and size < most:
         # codes up to the next clear code, as if there were none
         most_codes = (total - at) // (bits + 1) + 1
@@ -134,26 +162,15 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
             if len(marks) or n < limit:
                 break
         end = int(marks[0]) if len(marks) else n
-        table, last = plain.copy(), b""
-        add, put = table.append, out.append
-        for code in codes[:end].tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
-            else:
-                raise ValueError("broken code stream")
-            if last and len(table) < 4096:
-                add(last + entry[:1])
-            put(entry)
-            last = entry
-            size += len(entry)
+        run = expand(codes[:end], clear)
+        out.append(run)
+        size += len(run)
         if len(marks):
             done = int(codes[end]) == stop
             at = int(begin[end] + w[end])
         else:
             done = True
-    return b"".join(out)[:most]
+    return np.concatenate(out).tobytes()[:most] if out else b""
 
 
 def _blocks(data: bytes) -> bytes:
