@@ -76,12 +76,14 @@ def chosen_paths(nodes: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFr
     ranked = leaves.join(total, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))).select("tree_id", "node_id", "path_score")
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("path_score").desc(), "node_id"))
     paths = ranked.select("tree_id", F.col("node_id").alias("leaf_id"), rank.alias("rank"), F.lit(0).cast("long").alias("up"), "node_id").where(F.col("rank") <= top)
+    paths = checkpointed(paths)
+    # each round doubles what is listed, so it reads the rows of the last one twice: they are written between rounds
     for k in range(len(jumps) - 1, -1, -1):
         step = jumps[k].where("`to` IS NOT NULL").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "to")
         further = paths.join(step, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))).select(
             "tree_id", "leaf_id", "rank", (F.col("up") + (1 << k)).alias("up"), F.col("to").alias("node_id")
         )
-        paths = paths.union(further)
+        paths = checkpointed(paths.union(further))
     return paths
 
 
