@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
-from conftest import same_rows
+from compare import same_rows
 
 from panelwright.llm import queries
 
