@@ -247,3 +247,12 @@ def test_cache_and_helpers(spark, caplog):
 
 def test_neutralization_needs_industry():
     assert issubclass(NeutralizationError, PipelineError)
+
+
+def test_public_names():
+    import panelwright
+
+    assert panelwright.check_v2_availability()
+    assert all(getattr(panelwright, n) is not None for n in panelwright.__all__)
+    with pytest.raises(AttributeError):
+        panelwright.nothing
