@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw
+from .common import checkpointed, raw
 from .tokens import load, vocabulary
 
 
@@ -40,7 +40,8 @@ def length_answers(histogram: DataFrame, span: int = 4096) -> DataFrame:
     limit c lies between two rows: its truncated total is the lower row's
     tokens_within + c * docs_beyond; ``truncated_total`` computes it.
     """
-    h = histogram.select("tokens", "n_docs", (F.col("tokens") * F.col("n_docs")).alias("sum"), F.floor(F.col("tokens") / span).alias("range"))
+    # read twice below: written, so that texts are encoded once
+    h = checkpointed(histogram).select("tokens", "n_docs", (F.col("tokens") * F.col("n_docs")).alias("sum"), F.floor(F.col("tokens") / span).alias("range"))
     ranges = h.groupBy("range").agg(F.sum("n_docs").alias("rd"), F.sum("sum").alias("rt"))
     above = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(
