@@ -26,17 +26,15 @@ def box_cox(x: Column, power: Column) -> Column:
 def fit_power(panel: DataFrame, kind: str) -> DataFrame:
     """(factor, power): the grid's power with the largest profile likelihood, ties to the smallest size, then value.
 
-    All powers are aggregates of one pass, so the panel isn't multiplied by the grid.
+    A row meets each power inside its own task and is aggregated there at once, so what is shuffled is a row per power.
     """
-    x = F.col("value")
+    x, power = F.col("value"), F.col("g") / 10
     curve, jacobian = (yeo_johnson, F.signum(x) * F.log1p(F.abs(x))) if kind == "yeo_johnson" else (box_cox, F.when(x > 0, F.log(x)))
-    aggs = [F.var_pop(curve(x, F.lit(g / 10))).alias(f"v{k}") for k, g in enumerate(GRID)]
-    stats = panel.groupBy("factor").agg(F.count(jacobian).alias("n"), F.sum(jacobian).alias("j"), *aggs)
-    fits = [
-        F.when(F.col(f"v{k}") > 0, F.struct(F.round(-F.col("n") / 2 * F.log(f"v{k}") + (g / 10 - 1) * F.col("j"), 6).alias("fit"), F.lit(-abs(g)).alias("near"), F.lit(-g).alias("low")))
-        for k, g in enumerate(GRID)
-    ]
-    return stats.select("factor", (-F.array_max(F.array(*fits))["low"] / 10).alias("power"))
+    tried = panel.select("factor", "value", F.explode(F.array(*map(F.lit, GRID))).alias("g"))
+    stats = tried.groupBy("factor", "g").agg(F.count(jacobian).alias("n"), F.sum(jacobian).alias("j"), F.var_pop(curve(x, power)).alias("v")).where("v > 0")
+    fit = F.round(-F.col("n") / 2 * F.log("v") + (power - 1) * F.col("j"), 6)
+    best = F.max(F.struct(fit.alias("fit"), (-F.abs("g")).alias("near"), (-F.col("g")).alias("low")))
+    return stats.groupBy("factor").agg(best.alias("b")).select("factor", (-F.col("b.low") / 10).alias("power"))
 
 
 def reshape(panel: DataFrame, method: str = "auto") -> DataFrame:
