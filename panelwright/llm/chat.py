@@ -70,7 +70,9 @@ def chosen_paths(nodes: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFr
     while len(jumps) < max_rounds and not jumps[-1].where("`to` IS NOT NULL").isEmpty():
         a, b = jumps[-1], jumps[-1].select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("to").alias("far"), F.col("gain").alias("more"))
         on = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("to") == F.col("n"))
-        jumps.append(checkpointed(a.join(b, on, "left").select("tree_id", "node_id", F.col("far").alias("to"), (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"))))
+        # only nodes that still move are joined; every `to` is a node
+        moved = a.where("`to` IS NOT NULL").join(b, on).select("tree_id", "node_id", F.col("far").alias("to"), (F.col("gain") + F.col("more")).alias("gain"))
+        jumps.append(checkpointed(moved.union(a.where("`to` IS NULL").select("tree_id", "node_id", "to", "gain"))))
     # gains of the last jump run from a node to its root
     total = jumps[-1].select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("gain").alias("path_score"))
     ranked = leaves.join(total, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))).select("tree_id", "node_id", "path_score")
