@@ -1,13 +1,16 @@
-"""Removal of passages that repeat, by hashing paragraph units.
-
-A line is cut at sentence ends (and where a capitalised word follows a lower-case
-one, which is where an inserted passage usually begins); pieces are merged until
-a unit has a few words.  Units are normalised (lower case, single spaces) and
-hashed to 128 bits; digests are grouped globally; the earliest occurrence by
-(document id, position) stays.  A later occurrence is removed where it belongs
-to a run of repeated units of at least ``min_run_words`` words, so a short
-sentence that two texts share by chance stays.  Removed spans keep their
-offsets in the original text.
+"""Removal of passages that repeat, by hashing units of words.
+
+Where a unit ends is decided by the words around it alone, so that a passage is
+cut alike wherever it stands.  Of the line ends, sentence ends and places before
+a capitalised word after a lower-case one, those that come first by kind and hash
+among their like within ``min_unit_words`` words are cuts.  Further than
+``REACH`` words from any of them, a gap between words is a cut where its hash is
+the least within that reach, so passages without marks are cut as well.  Units
+are normalised (lower case, single spaces) and hashed; digests are grouped
+globally; the earliest occurrence by (document id, position) stays.  A later
+occurrence is removed where it belongs to a run of repeated units of at least
+``min_run_words`` words, so a short sentence that two texts share by chance
+stays.  Removed spans keep their offsets in the original text.
 
 Groups hold counts and minima only, made before the shuffle; the join back to
 units is a plain equi-join, whose hot keys adaptive execution can split.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,34 +33,51 @@ from .common import checkpointed, raw
 PIECE = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+|(?<=[^\W\d_A-ZÀ-Þ])[^\S\n]+(?=[A-ZÀ-Þ][^\W\d_A-ZÀ-Þ])|(?<=,)[^\S\n]+(?=[A-ZÀ-Þ][^\W\d_A-ZÀ-Þ])")
 
 
-def units(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit; the units of a line cover its words."""
-    out, last = [], 0
-    start, n = None, 0
-
-    def close(end: int) -> None:
-        nonlocal start, n
-        if start is not None:
-            body = text[start:end]
-            out.append((start, end, n, xxhash.xxh3_128_digest(" ".join(body.lower().split()).encode())))
-        start, n = None, 0
-
-    for m in PIECE.finditer(text):
-        k = len(text[last : m.start()].split())
-        if k:
-            start = last if start is None else start
-            n += k
-        if n >= min_words or text[m.start()] == "\n":
-            close(m.start())
-        last = m.end()
-    k = len(text[last:].split())
-    if k:
-        start = last if start is None else start
-        n += k
-    close(len(text))
+#: Words on each side that a gap without a mark is compared with.
+REACH = 3
+WORDS = re.compile(r"\S+")
+
+
+def least(keys: np.ndarray, reach: int) -> np.ndarray:
+    """Whether each key is the least within ``reach`` places, the first one of equals."""
+    n, out = len(keys), np.ones(len(keys), bool)
+    for k in range(1, min(reach, n - 1) + 1):
+        out[k:] &= keys[k:] < keys[:-k]
+        out[:-k] &= keys[:-k] <= keys[k:]
     return out
 
 
+def cuts(text: str, starts: np.ndarray, hashes: np.ndarray, min_words: int) -> np.ndarray:
+    """Indices of the words that begin a unit, but for the first word."""
+    none = np.uint64(2**64 - 1)
+    keys = ((hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[1:]) >> np.uint64(2)  # of the gap before word 1, 2, ...
+    kind = np.full(len(keys), 2, np.uint8)
+    found = [(m.end(), text[m.start()] != "\n") for m in PIECE.finditer(text)]
+    if found:
+        end, mark = np.array(found).T
+        at = np.searchsorted(starts, end) - 1
+        inner = (at >= 0) & (at < len(keys))
+        np.minimum.at(kind, at[inner], mark[inner].astype(np.uint8))
+    marked = kind < 2
+    ranked = np.where(marked, keys | kind.astype(np.uint64) << np.uint64(62), none)
+    near = marked.copy()
+    for k in range(1, min(REACH, len(keys) - 1) + 1):
+        near[k:] |= marked[:-k]
+        near[:-k] |= marked[k:]
+    return np.flatnonzero(np.where(marked, least(ranked, min_words - 1), least(keys, REACH) & ~near)) + 1
+
+
+def units(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, words, digest) of each unit; the units of a text cover its words."""
+    spans = [m.span() for m in WORDS.finditer(text)]
+    if not spans:
+        return []
+    words = [text[s:e].lower() for s, e in spans]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    at = [0, *cuts(text, np.array([s for s, _ in spans]), hashes, min_words).tolist(), len(words)]
+    return [(spans[i][0], spans[j - 1][1], j - i, xxhash.xxh3_64_intdigest(" ".join(words[i:j])) - 2**63) for i, j in zip(at, at[1:])]
+
+
 def _units(batches, min_words: int):
     for b in batches:
         ids = b.column(b.schema.get_field_index("doc_id"))
@@ -67,14 +88,14 @@ def _units(batches, min_words: int):
                     for col, x in zip(rows, (at + k, pos, n, digest)):
                         col.append(x)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], ["doc_id", "pos", "n_words", "digest"]
+                [ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], ["doc_id", "pos", "n_words", "digest"]
             )
 
 
 def removed_units(found: list[tuple], repeated: set[int], min_run: int) -> list[int]:
     """Positions to remove: runs of repeated units with enough words."""
     out, run, size = [], [], 0
-    for pos, (_, _, n, _) in enumerate([*found, (0, 0, 0, b"")]):
+    for pos, (_, _, n, _) in enumerate([*found, (0, 0, 0, 0)]):
         if pos in repeated:
             run.append(pos)
             size += n
@@ -141,7 +162,7 @@ def remove_repeats(docs: DataFrame, min_unit_words: int = 4, min_run_words: int
     """
     docs = docs.drop("removed_words", "removed")
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(partial(_units, min_words=min_unit_words), f"doc_id {kind}, pos int, n_words int, digest binary")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(partial(_units, min_words=min_unit_words), f"doc_id {kind}, pos int, n_words int, digest long")
     found = checkpointed(found.select("doc_id", "pos", "digest"))
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").drop("n")
     # written, so that the join below reads plain exchanges, whose hot keys can be split

@@ -202,6 +202,20 @@ def test_planted_passages(docs_of):
     assert all(got[i].text == t for i, t in clean) and all(len(words(got[i].text)) >= 100 for i in range(6))
 
 
+def test_passages_without_marks(docs_of):
+    """Long sentences without marks or capitals, and title case, amid running words."""
+    from panelwright.llm import substring
+
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    long, title = [say(60) for _ in range(20)], [say(60).title() for _ in range(10)]
+    rows = [(100 * k + i, f"{say(30 + k)} {p} {say(30)}") for k in range(3) for i, p in enumerate(long + title)]
+    got = {r.doc_id: r for r in substring.remove_repeats(docs_of(rows)).collect()}
+    assert all(got[i].removed_words == 0 for i, _ in rows if i < 100)
+    gone = [got[i].removed_words for i, _ in rows if i >= 100]
+    assert min(gone) >= 20 and np.mean(gone) >= 42 and max(gone) <= 60
+
+
 def test_mix_properties(spark, some):
     got = queries.op10_mixing(spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().set_index("doc_id")
