@@ -204,3 +204,31 @@ def test_pipeline(spark, sf):
     empty = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).isEmpty()
+
+
+def test_pipeline_drops_near_copies(spark, sf, docs_of):
+    """Similarities on both sides of 0.8, a chain, repeated ids with texts of their own, and rows without an id."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    say = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    rows, stay = [], []
+    for k in range(20):
+        base, at = say(300), 100 * (k + 1)
+        step = lambda t, where: t[:where] + say(1) + t[where + 1 :]
+        one = base
+        for w in range(10, 60, 10):  # 5 of 296 shingles a change: 0.84 after five
+            one = step(one, w)
+        two = one
+        for w in range(100, 150, 10):  # 0.84 to one, 0.71 to the base
+            two = step(two, w)
+        far = base
+        for w in range(20, 280, 20):  # 13 changes: 0.64
+            far = step(far, w)
+        rows += [(at, " ".join(base)), (at + 1, " ".join(one)), (at + 2, " ".join(two)), (at + 3, " ".join(far)), (None, " ".join(two))]
+        stay += [at, at + 3]
+    rows += [(7, "one text of its own here"), (7, "another text under the same id"), (7, "One text  of its own here"), (None, "no id at all"), (None, "no id at all")]
+    kept = corpus_pipeline.near_dedup(spark, docs_of(rows), sf).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [7, 7, *stay]
+    assert len({r.text.lower() for r in kept if r.doc_id == 7}) == 2
+    assert [r.text for r in kept if r.doc_id is None] == ["no id at all"]
