@@ -3,20 +3,23 @@
 Counts of all training words are exact and distributed.  The most frequent
 words, cut at a power-of-two count so that at most ``head`` remain, travel to
 the workers; rarer ones are joined to the documents that hold them by a
-shuffle.  The neural model predicts a class (one of the ``classes - 1`` most
-frequent words, or the rest) from the two classes before it: context vectors
+shuffle.  Every word has a class: half of the ``classes`` are the most frequent
+words, one each, the other half collects all other words by a hash of their last
+two bytes, as endings tell much about what may stand next.  The neural model predicts a class from the
+classes of the two words before it: context vectors
 add up to a query, whose product with the class vectors gives logits.  It is
 trained in numpy by noise-contrastive estimation over all training documents:
-each task runs one pass over its own, and parameters are averaged with token
-weights, by a sum in Spark.  Scoring normalises exactly: log-partition values of
+in each pass each task runs over its own, and parameters are averaged with token
+weights, by a sum in Spark; the next pass starts from the mean.  Scoring normalises exactly: log-partition values of
 context pairs come from batched matrix products and are kept per worker.  Within
-the rest class a word's share is its smoothed count, so probabilities of all
-known words and one unknown add up to one.
+a class a word's share is its smoothed count, and each class of endings holds one
+unknown word, so the probabilities of a context add up to one.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import partial
@@ -59,28 +62,46 @@ def _counts(batches, flush: int = 250_000):
 
 @dataclass
 class Head:
-    """Frequent words in rank order; the first ``classes - 1`` are classes of their own."""
+    """Frequent words in rank order, the first ``plain`` of them classes of their own, and the smoothed counts of each class."""
 
     index: dict
     counts: np.ndarray
-    classes: int
+    plain: int
+    mass: np.ndarray
     total: int
     distinct: int
 
-    def rest_mass(self) -> float:
-        """Smoothed counts of the words in the rest class, and of one unknown word."""
-        known = self.distinct - min(len(self.counts), self.classes - 1)
-        return self.total - float(self.counts[: self.classes - 1].sum()) + SMOOTH * (known + 1)
+    @property
+    def classes(self) -> int:
+        return len(self.mass)
 
     def unigram(self) -> np.ndarray:
-        top = self.counts[: self.classes - 1] + SMOOTH
-        p = np.concatenate((top, np.zeros(self.classes - 1 - len(top)) + 1e-9, [self.rest_mass()]))
-        return p / p.sum()
+        return self.mass / self.mass.sum()
+
+    def codes(self) -> Codes:
+        """The codes of words, kept with this head in a worker."""
+        if not hasattr(self, "_codes"):
+            self._codes = Codes(self)
+        return self._codes
 
     @property
     def end(self) -> int:
-        at = self.index.get(TEXT_END, self.classes - 1)
-        return min(at, self.classes - 1)
+        return self.codes()[TEXT_END] % self.classes
+
+
+class Codes(dict):
+    """Word -> (rank + 1) * classes + class, rank -1 for words out of the head; kept words are dropped when there are many."""
+
+    def __init__(self, head: Head):
+        self.index, self.plain, self.classes = head.index, head.plain, head.classes
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        rank = self.index.get(word, -1)
+        cls = rank if 0 <= rank < self.plain else self.plain + zlib.crc32(word[-2:]) % (self.classes - self.plain)
+        self[word] = code = (rank + 1) * self.classes + cls
+        return code
 
 
 @dataclass
@@ -106,25 +127,27 @@ class Model:
 
 def initial(head: Head, dim: int, seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    small = lambda: (rng.standard_normal((head.classes, dim)) * 0.1).astype(np.float32)
-    return Model(small(), small(), small(), np.log(head.unigram()).astype(np.float32))
+    drawn = lambda size: (rng.standard_normal((head.classes, dim)) * size).astype(np.float32)
+    return Model(drawn(0.3), drawn(0.3), drawn(0.05), np.log(head.unigram()).astype(np.float32))
 
 
-def _scatter(index: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
-    """Sum gradient rows by index."""
-    d = grad.shape[1]
-    return np.bincount((index[:, None] * d + np.arange(d)).ravel(), grad.ravel(), n * d).reshape(n, d)
+def _gathered(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices that occur and the sums of their gradient rows."""
+    order = np.argsort(index, kind="stable")
+    low = index[order]
+    at = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    return low[at], np.add.reduceat(grad[order], at, axis=0)
 
 
-def train(model: Model, streams, noise_p: np.ndarray, noise: int = 16, batch: int = 1024, rate: float = 0.3, seed: int = 3) -> int:
+def train(model: Model, streams, noise_p: np.ndarray, noise: int = 64, batch: int = 1024, rate: float = 0.1, seed: int = 3) -> int:
     """One pass of noise-contrastive estimation with adaptive steps, in place; the tokens seen."""
-    rng, k = np.random.default_rng(seed), model.out.shape[0]
+    rng = np.random.default_rng(seed)
     log_noise = np.log(noise_p * noise).astype(np.float32)
-    past = [np.full_like(x, 1e-2) for x in (model.first, model.second, model.out, model.bias)]
+    past = [np.full_like(x, 1e-6) for x in (model.first, model.second, model.out, model.bias)]
 
-    def step(x: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
-        seen += grad * grad
-        x += rate * grad / np.sqrt(seen)
+    def step(x: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        seen[at] += grad * grad
+        x[at] += rate * grad / np.sqrt(seen[at])
 
     total, share = 0, np.cumsum(noise_p)
     share /= share[-1]
@@ -132,32 +155,30 @@ def train(model: Model, streams, noise_p: np.ndarray, noise: int = 16, batch: in
         drawn = np.searchsorted(share, rng.random((len(word) // batch + 1, noise)), side="right")
         for at in range(0, len(word), batch):
             a, b, w = one[at : at + batch], two[at : at + batch], word[at : at + batch]
-            q = model.query(a, b)
-            fake = drawn[at // batch]
-            real = np.einsum("ij,ij->i", q, model.out[w]) + model.bias[w] - log_noise[w]
-            sham = q @ model.out[fake].T + model.bias[fake] - log_noise[fake]
-            up = 1 / (1 + np.exp(np.minimum(real, 30)))
-            down = 1 / (-1 - np.exp(np.minimum(-sham, 30)))
-            gq = up[:, None] * model.out[w] + down @ model.out[fake]
-            go = _scatter(w, up[:, None] * q, k) + _scatter(fake, down.T @ q, k)
-            gb = np.bincount(w, up, k) + np.bincount(fake, down.sum(0), k)
-            n = len(w)
-            step(model.first, past[0], (_scatter(a, gq, k) / n).astype(np.float32))
-            step(model.second, past[1], (_scatter(b, gq, k) / n).astype(np.float32))
-            step(model.out, past[2], (go / n).astype(np.float32))
-            step(model.bias, past[3], (gb / n).astype(np.float32))
+            fake, n = drawn[at // batch], len(w)
+            q, met, sham = model.query(a, b), model.out[w], model.out[fake]
+            real = np.einsum("ij,ij->i", q, met) + model.bias[w] - log_noise[w]
+            drawn_as = q @ sham.T + (model.bias[fake] - log_noise[fake])
+            up = (1 / (1 + np.exp(np.clip(real, -30, 30))) / n).astype(np.float32)
+            down = (-1 / (1 + np.exp(np.clip(-drawn_as, -30, 30))) / n).astype(np.float32)
+            gq = up[:, None] * met + down @ sham
+            go = np.concatenate((np.column_stack((up[:, None] * q, up)), np.column_stack((down.T @ q, down.sum(0)))))
+            step(model.first, past[0], *_gathered(a, gq))
+            step(model.second, past[1], *_gathered(b, gq))
+            at_out, go = _gathered(np.concatenate((w, fake)), go)
+            step(model.out, past[2], at_out, go[:, :-1])
+            step(model.bias, past[3], at_out, go[:, -1])
             total += n
     return total
 
 
 def _classed(texts: list[bytes], head: Head):
-    """(ranks with -1 for words out of the head, classes, classes one and two back, lengths) of texts laid end to end."""
-    found = [tokens(t) for t in texts]
-    get = head.index.get
-    rank = np.array([get(w, -1) for x in found for w in x], np.int64)
+    """(words, ranks with -1 for words out of the head, classes, classes one and two back, lengths) of texts laid end to end."""
+    found, codes = [tokens(t) for t in texts], head.codes()
+    get = codes.__getitem__
+    code = np.array([get(w) for x in found for w in x], np.int64)
     lengths = np.array([len(x) for x in found])
-    rest = head.classes - 1
-    cls = np.where((rank < 0) | (rank >= rest), rest, rank)
+    rank, cls = code // head.classes - 1, code % head.classes
     one = np.concatenate(([head.end], cls[:-1]))
     two = np.concatenate(([head.end], one[:-1]))
     starts = np.cumsum(lengths) - lengths
@@ -214,14 +235,14 @@ def _partitions(model: Model, key: bytes, one: np.ndarray, two: np.ndarray) -> n
 def _scored(batches, head, rows: np.ndarray):
     h, model = head.value, Model.of(rows)
     key = xxhash.xxh3_128_digest(rows.tobytes())
-    log_c = np.log10(h.counts + SMOOTH)
-    rest = h.classes - 1
+    log_c, log_mass = np.log10(h.counts + SMOOTH), np.log10(h.mass)
     for b, texts in _chunks(batches):
         found, rank, cls, one, two, lengths = _classed(texts, h)
         logit = np.einsum("ij,ij->i", model.query(one, two), model.out[cls]) + model.bias[cls] - _partitions(model, key, one, two)
         known = rank >= 0
         count = np.where(known, log_c[np.maximum(rank, 0)] if len(log_c) else 0.0, 0.0)
-        inner = np.where(cls == rest, count, 0.0) + logit.astype(np.float64) / math.log(10)
+        # a word's share of its class: the smoothed count (0 here, joined later, for words out of the head) by the class's
+        inner = count - log_mass[cls] + logit.astype(np.float64) / math.log(10)
         starts = np.cumsum(lengths) - lengths
         total = lambda x: np.add.reduceat(x, starts)
         sparse, tails, at = np.flatnonzero(~known), [], 0
@@ -234,31 +255,44 @@ def _scored(batches, head, rows: np.ndarray):
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("held_out")), pa.array(uid, pa.binary()), pa.array(lengths, pa.int64()),
-                pa.array(total(known.astype(np.int64)), pa.int64()), pa.array(total(count)), pa.array(total(inner)), pa.array(total((cls == rest).astype(np.int64)), pa.int64()),
+                pa.array(total(known.astype(np.int64)), pa.int64()), pa.array(total(count)), pa.array(total(inner)),
                 pa.array([[{"word": w, "n": n} for w, n in x] for x in tails], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
             ],
-            ["doc_id", "held_out", "uid", "n_tokens", "head_known", "head_base", "head_score", "n_rest", "tail"],
+            ["doc_id", "held_out", "uid", "n_tokens", "head_known", "head_base", "head_score", "tail"],
         )
 
 
 def learn_head(counts: DataFrame, head: int, classes: int) -> Head:
-    """The frequent words of a (word, n) table; at most ``head`` of them reach the driver."""
+    """The frequent words of a (word, n) table, at most ``head`` of which reach the driver, and the counts of all classes."""
     level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     by = counts.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).toPandas().sort_values("level", ascending=False)
     total, distinct = int(by["n"].sum()), int(by["k"].sum())
     fits = by[by["k"].cumsum() <= head]["level"]
     rows = counts.where(level >= int(fits.min())).toPandas() if len(fits) else counts.limit(0).toPandas()
     rows = rows.assign(word=rows["word"].map(bytes)).sort_values(["n", "word"], ascending=[False, True])
-    return Head({w: i for i, w in enumerate(rows["word"])}, rows["n"].to_numpy(np.int64), classes, total, distinct)
-
-
-def score(docs: DataFrame, head: int = 131_072, classes: int = 512, dim: int = 16, seed: int = 1, mod: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    words, n = list(rows["word"]), rows["n"].to_numpy(np.int64)
+    plain = min(classes // 2, len(words))
+    endings = classes // 2
+    ending = (F.crc32(F.substring("word", -2, 2)) % endings).cast("int")
+    mass = np.full(endings, SMOOTH)  # that of one unknown word
+    for at, k, size in counts.groupBy(ending.alias("at")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
+        mass[at] += size + SMOOTH * k
+    for w, size in zip(words[:plain], n):
+        mass[zlib.crc32(w[-2:]) % endings] -= size + SMOOTH
+    return Head({w: i for i, w in enumerate(words)}, n, plain, np.concatenate((n[:plain] + SMOOTH, np.maximum(mass, SMOOTH))), total, distinct)
+
+
+def score(docs: DataFrame, head: int = 131_072, classes: int = 1024, dim: int = 24, passes: int = 2, seed: int = 1, mod: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document.
 
     Training documents are those whose id's CRC-32 isn't divisible by ``mod``.
     Null texts count as empty (one end token); repeated rows train and score as
-    often as they occur; with no training document every count is 0 and both
-    scores are those of a single unknown word; an empty table gives no rows.
+    often as they occur; with no training document every count is 0, the base
+    knows a single unknown word and the model one for each ending; an empty table
+    gives no rows.  Ties in frequency go to the smaller word.  Other columns are
+    not read, so their names may clash.  Texts are scored whole: a text is one
+    row of its worker, longer ones only fill it more.  ``classes`` and ``dim``
+    bound what the model can tell, not the vocabulary: every word has a class.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (id_crc(F.col(id_col)) % mod == 0).alias("held_out"))
@@ -266,16 +300,17 @@ def score(docs: DataFrame, head: int = 131_072, classes: int = 512, dim: int = 1
     counts = checkpointed(training.mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     h = learn_head(counts, head, classes)
     shared = spark.sparkContext.broadcast(h)
-    start, noise_p = initial(h, dim, seed).rows(), h.unigram()
+    model, noise_p = initial(h, dim, seed).rows(), h.unigram()
     names = [f"v{i}" for i in range(dim)]
-    runs = training.mapInArrow(partial(_trained, head=shared, start=start, noise_p=noise_p), "row int, w double, " + ", ".join(f"{n} double" for n in names))
-    mean = runs.groupBy("row").agg(*[(F.sum(n) / F.sum("w")).alias(n) for n in names]).toPandas().sort_values("row")
-    model = mean[names].to_numpy() if len(mean) else start
+    for _ in range(passes):
+        runs = training.mapInArrow(partial(_trained, head=shared, start=model, noise_p=noise_p), "row int, w double, " + ", ".join(f"{n} double" for n in names))
+        mean = runs.groupBy("row").agg(*[(F.sum(n) / F.sum("w")).alias(n) for n in names]).toPandas().sort_values("row")
+        model = mean[names].to_numpy() if len(mean) else model
     kind = docs.schema[id_col].dataType.simpleString()
     scored = checkpointed(
         rows.mapInArrow(
             partial(_scored, head=shared, rows=model.astype(np.float32)),
-            f"doc_id {kind}, held_out boolean, uid binary, n_tokens long, head_known long, head_base double, head_score double, n_rest long, tail array<struct<word:binary,n:long>>",
+            f"doc_id {kind}, held_out boolean, uid binary, n_tokens long, head_known long, head_base double, head_score double, tail array<struct<word:binary,n:long>>",
         )
     )
     # rare words meet their counts; a text's copies add up alike, so sums are divided by their number
@@ -288,5 +323,5 @@ def score(docs: DataFrame, head: int = 131_072, classes: int = 512, dim: int = 1
     base = F.col("head_base") + tail_log - F.col("n_tokens") * math.log10(h.total + SMOOTH * (h.distinct + 1))
     return scored.join(sums, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.round(tail_known).cast("long")).alias("n_known"), F.lit(h.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (F.col("head_score") + tail_log - F.col("n_rest") * math.log10(h.rest_mass())).alias("score"),
+        base.alias("base_score"), (F.col("head_score") + tail_log).alias("score"),
     )

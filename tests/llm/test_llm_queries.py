@@ -125,21 +125,43 @@ def test_lm(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(w in count for w in x), n)
         assert abs(r.base_score - sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)) < 1e-6
     held = got[got.held_out]
-    assert held.score.sum() > held.base_score.sum() * 1.02 and (got.score < 0).all()
+    # scores are negative; a tenth of the base's 4.1 digits a token is less than what telling the languages apart gains
+    assert held.score.sum() > held.base_score.sum() * 0.95 and (got.score < 0).all()
+    assert (held.score > held.base_score).mean() > 0.9
 
 
-def test_lm_probabilities_add_up():
+def test_lm_probabilities_add_up(spark):
+    """Over all known words and one unknown word of each ending, for a trained model and some context."""
     from panelwright.llm import lm
 
-    counts = np.sort(np.random.default_rng(0).integers(1, 50, 40))[::-1]
-    h = lm.Head({b"%d" % i: i for i in range(40)}, counts, 16, int(counts.sum()), 40)
+    rng = np.random.default_rng(0)
+    words_ = sorted({"".join(rng.choice(list("abcdef"), rng.integers(1, 5))) for _ in range(300)})
+    counts = spark.createDataFrame([(w.encode(), int(n)) for w, n in zip(words_, rng.integers(1, 50, len(words_)))], "word binary, n long")
+    h = lm.learn_head(counts, 100, 64)
+    assert 0 < len(h.counts) <= 100 and h.classes == 64 and h.distinct == len(words_)
+    by_class = Counter()
+    for w, n in counts.collect():
+        by_class[h.codes()[bytes(w)] % h.classes] += n + 0.1
+    for c in range(h.plain, h.classes):
+        by_class[c] += 0.1
+    assert np.allclose([by_class[c] for c in range(h.classes)], h.mass)
     m = lm.initial(h, 8, 0)
-    lm.train(m, [(np.arange(64) % 16, np.arange(64) % 7, np.arange(64) % 16)], h.unigram())
-    every = np.arange(16)
+    lm.train(m, [(rng.integers(0, 64, 5000), rng.integers(0, 64, 5000), rng.integers(0, 64, 5000))], h.unigram())
     lm._PARTITION.clear()
-    p = np.exp(m.query(np.full(16, 3), np.full(16, 5)) @ m.out.T + m.bias - lm._partitions(m, b"k", np.full(16, 3), np.full(16, 5))[:, None])[0]
-    inner = (counts[15:] + 0.1).sum() / h.rest_mass() + 0.1 / h.rest_mass()
-    assert abs(p.sum() - 1) < 1e-5 and abs(inner - 1) < 1e-12 and len(every) == 16
+    p = np.exp(m.query(np.full(64, 3), np.full(64, 5)) @ m.out.T + m.bias - lm._partitions(m, b"k", np.full(64, 3), np.full(64, 5))[:, None])[0]
+    known = sum(p[h.codes()[bytes(w)] % 64] * (n + 0.1) / h.mass[h.codes()[bytes(w)] % 64] for w, n in counts.collect())
+    assert abs(known + sum(p[c] * 0.1 / h.mass[c] for c in range(h.plain, 64)) - 1) < 1e-5
+
+
+def test_lm_learns_from_context(docs_of):
+    """Words that follow each other always: far better than any model without context."""
+    from panelwright.llm import lm
+
+    rng = np.random.default_rng(3)
+    pairs = [("red", "house"), ("blue", "river"), ("green", "mountain"), ("white", "garden")]
+    rows = [(i, " ".join(w for k in rng.integers(0, 4, 40) for w in pairs[k])) for i in range(400)]
+    held = lm.score(docs_of(rows), classes=32, dim=8, passes=10).where("held_out").toPandas()
+    assert held.score.sum() / held.n_tokens.sum() > -0.36 and held.base_score.sum() / held.n_tokens.sum() < -0.85
 
 
 def test_media(spark, texts):
