@@ -194,21 +194,66 @@ def test_token_counts(spark, texts):
         assert lengths.quantile(lengths.length_answers(h, 64), q).first()[0] == np.sort(n)[int(np.ceil(round(q * len(n), 9))) - 1]
 
 
-def test_repeats_against_a_plain_rerun(some, texts):
+def test_repeats_by_brute_force(some, texts):
+    """Every removed stretch of words stands elsewhere, first or earlier; what is left repeats little."""
     from panelwright.llm import substring
 
     got = {r.doc_id: r for r in substring.remove_repeats(some.select("doc_id", "text")).collect()}
-    first = {}
-    for i in sorted(texts):
-        for pos, (*_, digest) in enumerate(substring.units(texts[i], 4)):
-            first.setdefault(digest, (i, pos))
+    size, places = 8, {}
+    plain = {i: [w.lower() for w in t.split()] for i, t in texts.items()}
+    for i in sorted(plain):
+        for k in range(len(plain[i]) - size + 1):
+            places.setdefault(tuple(plain[i][k : k + size]), []).append((i, k))
+    gone = unseen = 0
     for i, t in texts.items():
-        found = substring.units(t, 4)
-        gone = substring.removed_units(found, {p for p, u in enumerate(found) if first[u[3]] != (i, p)}, 20)
-        assert got[i].removed_words == sum(found[p][2] for p in gone)
-        assert len(words(got[i].text)) == len(words(t)) - got[i].removed_words
+        r, before = got[i], 0
+        assert r.removed_words == sum(s.n_words for s in r.removed) and len(r.text.split()) == len(plain[i]) - r.removed_words
+        for s in r.removed:
+            part = t[s.start : s.start + s.length]
+            assert s.start >= before and part == part.strip() and len(part.split()) == s.n_words >= 20
+            before = s.start + s.length
+            at = len(t[: s.start].split())
+            for k in range(at, at + s.n_words):
+                around = [places[tuple(plain[i][j : j + size])] for j in range(max(at, k - size + 1), min(k, at + s.n_words - size) + 1)]
+                gone += 1
+                unseen += not any(x[0] < (i, j) for j, x in enumerate([sorted(p) for p in around], max(at, k - size + 1)))
+    assert gone > 5000 and unseen < 0.02 * gone
+    # runs of 50 words or more (half of them different words) that an earlier document holds: few words of them stay
+    held = left = 0
+    for i, words_ in plain.items():
+        repeated = np.zeros(len(words_), bool)
+        for k in range(len(words_) - size + 1):
+            repeated[k : k + size] |= places[tuple(words_[k : k + size])][0] < (i, k)
+        stays = np.ones(len(words_), bool)
         for s in got[i].removed:
-            assert len(words(t[s.start : s.start + s.length])) == s.n_words
+            at = len(texts[i][: s.start].split())
+            stays[at : at + s.n_words] = False
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], repeated.astype(int), [0]))))
+        for x, y in zip(edges[::2], edges[1::2]):
+            if y - x >= 50 and 2 * len(set(words_[x:y])) >= y - x:
+                held, left = held + y - x, left + stays[x:y].sum()
+    assert held > 5000 and left < 0.1 * held
+
+
+def test_rows_without_an_id_of_their_own(docs_of):
+    """Rows that share an id, or have none, lose only what stands elsewhere."""
+    from panelwright.llm import substring
+
+    rng = np.random.default_rng(2)
+    say = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(45)).capitalize() + "."
+    for i in (None, 5):
+        passage = say()
+        rows = [(i, f"{passage} {say()} {say()}"), (i, f"{say()} {say()} {passage}"), (i, f"{say()} {say()} {say()}"), (9, f"{say()} {passage}")]
+        got = {r.text_was: r for r in substring.remove_repeats(docs_of(rows).selectExpr("doc_id", "text", "text AS text_was", "'x' AS `row`", "'y' AS digest")).collect()}
+        assert len(got) == 4 and got[rows[2][1]].removed_words == 0
+        assert sorted(got[t].removed_words > 30 for _, t in rows) == [False, False, True, True]
+        for _, t in rows:
+            r = got[t]
+            for s in r.removed:
+                assert t[s.start : s.start + s.length] in passage
+        # equal rows are one document
+        again = substring.remove_repeats(docs_of([rows[0]] * 3)).collect()
+        assert [r.removed_words for r in again] == [0, 0, 0]
 
 
 def test_planted_passages(docs_of):
