@@ -70,29 +70,32 @@ def split_point(points: np.ndarray, rng: np.random.Generator, tries: int = 8) ->
     return best, int(d[(len(d) - 1) // 2])
 
 
-def build_tree(sample: np.ndarray, levels: int, seed: int = 7) -> list[tuple]:
-    """Nodes (vantage, threshold, inner, outer) or (shard,), the root first."""
-    rng, nodes, shards = np.random.default_rng(seed), [], [0]
+NODE = np.dtype([("vantage", np.uint64), ("threshold", np.int16), ("inner", np.int32), ("outer", np.int32)])
 
-    def grow(points: np.ndarray, left: int) -> int:
+
+def build_tree(sample: np.ndarray, levels: int, seed: int = 7) -> np.ndarray:
+    """Nodes, the root first; one of threshold -1 is a leaf and ``inner`` is its shard."""
+    rng, nodes, shards = np.random.default_rng(seed), [], 0
+    todo = [(sample, levels, -1, 0)]
+    while todo:
+        points, left, above, side = todo.pop()
         at = len(nodes)
-        nodes.append(None)
-        v, t, inner = 0, 0, np.zeros(0, bool)
+        if above >= 0:
+            nodes[above][side] = at
+        v, t, inner = 0, -1, np.zeros(0, bool)
         if left and len(points) > 1:
             v, t = split_point(points, rng)
             inner = distance(points, v) <= t
         if inner.any() and not inner.all():
-            nodes[at] = (int(v), t, grow(points[inner], left - 1), grow(points[~inner], left - 1))
+            nodes.append([int(v), t, 0, 0])
+            todo += [(points[~inner], left - 1, at, 3), (points[inner], left - 1, at, 2)]
         else:
-            nodes[at] = (shards[0],)
-            shards[0] += 1
-        return at
-
-    grow(sample, levels)
-    return nodes
+            nodes.append([0, -1, shards, 0])
+            shards += 1
+    return np.array([tuple(x) for x in nodes], NODE)
 
 
-def route(nodes: list[tuple], points: np.ndarray, radius: int):
+def route(nodes: np.ndarray, points: np.ndarray, radius: int):
     """Yield (shard, natives, ghosts) as index arrays into ``points``."""
     none = np.zeros(0, np.int64)
     todo = [(0, np.arange(len(points)), none)]
@@ -100,10 +103,10 @@ def route(nodes: list[tuple], points: np.ndarray, radius: int):
         at, own, ghosts = todo.pop()
         if not len(own) and not len(ghosts):
             continue
-        if len(nodes[at]) == 1:
-            yield nodes[at][0], own, ghosts
+        v, t, inner, outer = nodes[at].tolist()
+        if t < 0:
+            yield inner, own, ghosts
             continue
-        v, t, inner, outer = nodes[at]
         d, g = distance(points[own], np.uint64(v)), distance(points[ghosts], np.uint64(v))
         todo.append((inner, own[d <= t], ghosts[g <= t + radius]))
         edge = own[(d <= t) & (d > t - radius)]
@@ -163,20 +166,25 @@ def forest(points: np.ndarray, n_own: int, radius: int, seed: int = 11) -> np.nd
     return label
 
 
-def _forest(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["native", "fp"], ascending=[False, True])
-    points = pdf["fp"].to_numpy().view(np.uint64)
-    label = forest(points, int(pdf["native"].sum()), radius)
-    linked = label != np.arange(len(label))
-    signed = points.view(np.int64)
-    return pd.DataFrame({"u": signed[linked], "v": signed[label[linked]]})
+def _forest(radius: int):
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["native", "fp"], ascending=[False, True])
+        points = pdf["fp"].to_numpy().view(np.uint64)
+        label = forest(points, int(pdf["native"].sum()), radius)
+        moved = label != np.arange(len(label))
+        signed = points.view(np.int64)
+        return pd.DataFrame({"u": signed[moved], "v": signed[label[moved]]})
+
+    return linked
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, root) for each node of an undirected edge list (u, v), by alternating star contraction."""
+    """(node, root) for each node of an undirected edge list (u, v), by alternating star contraction.
 
-    def summary(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    Nodes are of any type with an order; a root is the smallest node of its
+    component.  Rounds grow with the logarithm of the nodes; RuntimeError if
+    ``max_rounds`` were too few.
+    """
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -190,55 +198,60 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         return moved.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
     edges = checkpointed(edges.where("u != v").distinct())
-    seen = summary(edges)
-    for _ in range(max_rounds if seen[0] else 0):
-        edges = checkpointed(small(large(edges)))
-        now = summary(edges)
-        if now == seen:
+    n = edges.count()
+    for _ in range(max_rounds if n else 0):
+        last, before, edges = edges, n, checkpointed(small(large(edges)))
+        n = edges.count()
+        if n == before and edges.join(last, ["u", "v"], "left_anti").isEmpty():
             break
-        seen = now
+    else:
+        if n:
+            raise RuntimeError(f"components are not found in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
 def near_duplicates(
-    docs: DataFrame, radius: int = 4, shingle: int = 4, min_levels: int = 6, shard_points: int = 16_384, sample: int = 4_096, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, radius: int = 4, shingle: int = 4, min_levels: int = 6, shard_points: int = 16_384, leaf_sample: int = 64, most_sample: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest id that links of at most ``radius`` differing
     bits reach.  Null and empty texts share fingerprint zero and are linked like
     any other; null ids are members but never name a component, unless all are
-    null; repeated rows give repeated results.  ``sample`` bounds what the
-    driver sees to place shards; it changes balance, never results.
+    null; repeated rows give repeated results; long texts are hashed whole, in
+    blocks; an empty table gives no rows; other columns are not read, so their
+    names may clash.  The driver places shards by ``leaf_sample`` prints for each,
+    ``most_sample`` (8 MB) in all; that changes balance, never results.
     """
-    prints = checkpointed(
-        docs.select(id_col, text_col).mapInArrow(
-            partial(_fingerprints, id_col=id_col, text_col=text_col, size=shingle), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"
-        )
-    )
+    kind = docs.schema[id_col].dataType.simpleString()
+    prints = checkpointed(docs.select(id_col, text_col).mapInArrow(partial(_fingerprints, id_col=id_col, text_col=text_col, size=shingle), f"doc_id {kind}, fp long"))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     n = nodes.count()
     levels = max(min_levels, math.ceil(math.log2(max(1, n / shard_points))))
-    seen = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy()
-    tree = build_tree(seen.astype(np.int64).view(np.uint64), levels)
+    sample = min(leaf_sample << levels, most_sample)
+    # some of many prints, by their hash; at least a leaf's worth of any number
+    drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 32)))
+    seen = np.sort(nodes.where(drawn).select("fp").limit(2 * sample).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
+    tree = build_tree(seen, levels)
     shards = nodes.select("fp").mapInArrow(partial(_route, nodes=tree, radius=radius), "shard int, fp long, native boolean")
-    edges = shards.groupBy("shard").applyInPandas(partial(_forest, radius=radius), "u long, v long")
-    roots = components(edges)
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return (
-        prints.join(named.join(ids, "root").select("fp", "component_id"), "fp", "left")
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    edges = checkpointed(shards.groupBy("shard").applyInPandas(_forest(radius), "u long, v long"))
+    # nodes are ordered by their smallest id, so a component's root names it and nothing is gathered by component
+    label = nodes.select("fp", F.struct(F.col("first").isNull().alias("lost"), "first", "fp").alias("label"))
+    ends = edges.join(label, F.col("u") == F.col("fp")).select(F.col("label").alias("a"), "v").join(label, F.col("v") == F.col("fp")).select(F.col("a").alias("u"), F.col("label").alias("v"))
+    roots = components(ends).select(F.col("node.fp").alias("fp"), F.col("root.first").alias("component_id"), F.lit(True).alias("linked"))
+    named = nodes.join(roots, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component: the one that names it, once if its row repeats.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component: the one that names it, once for each text that its id has.
 
-    Documents without an id can't name a component; they are kept as they are.
+    Rows that share an id but not a text are documents of their own, of which
+    only the id's own component decides; documents without an id can't name a
+    component and are kept as they are.
     """
-    groups = near_duplicates(docs, id_col=id_col, **options)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id"))
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
     # the join deals rows by id, which the removal of repeated ids needs too
-    named = docs.join(keep, F.col(id_col) == F.col("__keep_id"), "left_semi").dropDuplicates([id_col])
+    named = docs.join(keep, F.col(id_col) == F.col("__keep_id"), "left_semi").dropDuplicates([id_col, text_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

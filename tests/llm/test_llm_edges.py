@@ -66,6 +66,8 @@ def test_untrainable_tables(spark, edge, docs_of):
 def test_keep_one(edge, docs_of):
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 6, 7, 8, 9]
+    two = docs_of([(1, "one text of its own"), (1, "another that shares its id"), (1, "one text of its own")])
+    assert sorted(r.text for r in simhash.keep_one(two).collect()) == ["another that shares its id", "one text of its own"]
 
 
 def test_vantage_trees_lose_no_link():
@@ -90,10 +92,24 @@ def test_vantage_trees_lose_no_link():
     assert (label == brute).all()
 
 
+def test_leaves_follow_the_points():
+    rng = np.random.default_rng(1)
+    points = rng.integers(0, 1 << 63, 60_000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 60_000).astype(np.uint64)
+    for levels in (6, 9):
+        tree = simhash.build_tree(points[: 64 << levels], levels)
+        sizes = np.zeros(1 << levels, int)
+        for shard, own, _ in simhash.route(tree, points, 4):
+            sizes[shard] += len(own)
+        assert (tree["threshold"] < 0).sum() == 1 << levels and sizes.sum() == len(points) and sizes.max() < 5 * len(points) / (1 << levels)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (5, 5)]
     roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert {roots[i] for i in range(201)} == {0} and {roots[i] for i in (1000, 1001, 1002)} == {1000}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).isEmpty()
+    with pytest.raises(RuntimeError):
+        simhash.components(spark.createDataFrame(chain, "u long, v long"), max_rounds=1)
 
 
 def test_hilbert_is_one_walk():
@@ -206,6 +222,32 @@ def test_pipeline(spark, sf):
         assert stage(spark, empty, sf).isEmpty()
 
 
+def test_large_blocks_in_tiles(docs_of, monkeypatch):
+    """Every link is found, whatever the sides of tiles and the bound on pairs are: against all pairs."""
+    from panelwright.llm import nearcopies
+
+    rng = np.random.default_rng(12)
+    base = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(220)]
+    texts = []
+    for k in range(150):
+        words, changes = list(base), rng.integers(2, 14)
+        for at in rng.choice(len(words), changes, replace=False):
+            words[at] = "".join(rng.choice(list("abcdefgh"), 6))
+        texts.append(" ".join(words))
+    sets = [nearcopies.shingles(nearcopies.normal(t.encode()), 5) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if nearcopies.jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert 1 < len(set(want)) < len(texts)
+    for small, tile in ((4, 16), (32, 256), (1000, 256)):
+        monkeypatch.setattr(nearcopies, "SMALL", small)
+        monkeypatch.setattr(nearcopies, "TILE", tile)
+        assert sorted(r.doc_id for r in nearcopies.keep_one(docs_of(list(enumerate(texts)))).collect()) == sorted(set(want))
+
+
 def test_pipeline_drops_near_copies(spark, sf, docs_of):
     """Similarities on both sides of 0.8, a chain, repeated ids with texts of their own, and rows without an id."""
     import corpus_pipeline
