@@ -50,31 +50,40 @@ def linear_trees(rows: DataFrame) -> DataFrame:
     )
 
 
-def chosen_paths(nodes: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFrame:
+def single(nodes: DataFrame) -> DataFrame:
+    """One row for each (tree, node): of several the least by parent, role, text and score."""
+    least = F.min(F.struct("parent_id", "role", "text", "score")).alias("x")
+    return nodes.groupBy("tree_id", "node_id").agg(least).select("tree_id", "node_id", "x.*")
+
+
+def chosen_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """(tree_id, leaf_id, rank, up, node_id): the paths of the best leaves, ``up`` steps from the leaf.
 
     A path's score is the sum of its nodes' scores, ties go to the smaller leaf
-    id.  A parent that doesn't exist makes a root; nodes of a cycle lead to no
-    leaf path and are left out once the rounds end.
+    id.  A parent that doesn't exist makes a root.  A node that reaches no root,
+    on a cycle or below one, is on no path: rounds end when jumps are as long as
+    there are nodes, and leaves whose jump has a target then are left out.  So are
+    rows without a node id.  Nodes must be unique in a tree.
     """
-    ids = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    ids = nodes.where("node_id IS NOT NULL").select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     own = ids.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p")).distinct()
     # a jump of 2**k steps, and the score of the nodes it passes
     jump = ids.join(own, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p")), "left").select(
         "tree_id", "node_id", F.col("p").alias("to"), F.col("score").alias("gain")
     )
     jump = checkpointed(jump)
+    n = jump.count()
     parents = jump.select(F.col("tree_id").alias("t"), F.col("to").alias("p")).where("p IS NOT NULL").distinct()
     leaves = jump.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p")), "left_anti")
     jumps = [jump]
-    while len(jumps) < max_rounds and not jumps[-1].where("`to` IS NOT NULL").isEmpty():
+    while 1 << len(jumps) - 1 < n and not jumps[-1].where("`to` IS NOT NULL").isEmpty():
         a, b = jumps[-1], jumps[-1].select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("to").alias("far"), F.col("gain").alias("more"))
         on = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("to") == F.col("n"))
         # only nodes that still move are joined; every `to` is a node
         moved = a.where("`to` IS NOT NULL").join(b, on).select("tree_id", "node_id", F.col("far").alias("to"), (F.col("gain") + F.col("more")).alias("gain"))
         jumps.append(checkpointed(moved.union(a.where("`to` IS NULL").select("tree_id", "node_id", "to", "gain"))))
-    # gains of the last jump run from a node to its root
-    total = jumps[-1].select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("gain").alias("path_score"))
+    # gains of the last jump run from a node to its root; a jump that still has a target leads into a cycle
+    total = jumps[-1].where("`to` IS NULL").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("gain").alias("path_score"))
     ranked = leaves.join(total, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))).select("tree_id", "node_id", "path_score")
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("path_score").desc(), "node_id"))
     paths = ranked.select("tree_id", F.col("node_id").alias("leaf_id"), rank.alias("rank"), F.lit(0).cast("long").alias("up"), "node_id").where(F.col("rank") <= top)
@@ -89,13 +98,17 @@ def chosen_paths(nodes: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFr
     return paths
 
 
-def format_paths(nodes: DataFrame, top: int = 1, train_role: str = "assistant") -> DataFrame:
+def format_paths(nodes: DataFrame, top: int = 1, train_role: str = "assistant", unique: bool = False) -> DataFrame:
     """One row per chosen path: tree_id, leaf_id, rank, n_turns, formatted, loss_spans.
 
     loss_spans are (start, length) in code points of ``formatted``, one for each
-    text of ``train_role``.  Null roles and texts count as empty; node ids must
-    be unique in a tree; an empty table gives no rows; other columns are not read.
+    text of ``train_role``.  Null roles and texts count as empty, a null score as
+    0, null tree ids are one tree; of rows that share tree and node the least
+    counts (``unique`` says that there are none); cycles and what hangs from them
+    are left out; an empty table gives no rows; other columns are not read, so
+    their names may clash.  Long texts are formatted whole, in one row.
     """
+    nodes = nodes if unique else checkpointed(single(nodes))
     paths = chosen_paths(nodes, top)
     said = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = paths.join(said, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))).select(
