@@ -2,11 +2,13 @@
 
 Each document is tokenized once.  Its ids are hashed into a signed vector,
 damped, normalised and projected to three dimensions; the Hilbert index of that
-point, with a hash of the id below it, is the sort key.  Range bounds come from
-a bounded sample of keys, every row carries its range number, and each range is
+point, with a hash of the row below it, is the sort key.  The number of ranges
+follows the size of the texts; their bounds come from a sample of keys, some for
+each range; every row carries its range number, and each range is
 sorted and cut into sequences as one stream: no padding inside, and the last
 sequence of a range is cut at powers of two, which need none.  Copies share a
-curve position but not a key, so a group of any size spreads over ranges.
+curve position but not a key, and neither do rows that repeat or have no id, so a
+group of any size spreads over ranges.
 """
 
 from __future__ import annotations
@@ -147,21 +149,30 @@ def _packed(batches, size: int):
         yield emit(held, seq)
 
 
-def pack(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_id: int = 2, sample: int = 4096, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_id: int = 2, range_bytes: int = 1 << 26, range_sample: int = 64, least_sample: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Pieces of all documents along the curve, with their ids.
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids
     (unsigned 16-bit, little-endian).  Null and empty texts are their end id
-    alone; repeated rows are packed as often as they occur; an empty table gives
-    no rows.  ``sample`` bounds the keys read to place range bounds.
+    alone; repeated rows are packed as often as they occur; documents of equal
+    keys are ordered by id; long texts are tokenized whole and cut over as many
+    sequences as they fill; an empty table gives no rows; other columns are not
+    read, so their names may clash.  There is a range for each ``range_bytes`` of
+    text, and no less than shuffle partitions; ``range_sample`` documents for
+    each, ``least_sample`` in all, are tokenized to place their bounds.
     """
     spark = docs.sparkSession
     path = tokenizer or vocabulary()
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 32)).alias("salt"))
+    n, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    sample = max(least_sample, range_sample * parts)
+    # rows are told apart by their place in the input, which a task that runs again finds as before
+    salt = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(1 << 32))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), salt.alias("salt"))
     # another hash than the salt's, which is part of the key
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 32))
-    n = docs.count()
+    drawn = F.pmod(F.xxhash64("salt", F.lit("sample")), F.lit(1 << 32))
     # some of many rows, by their hash; each key is computed as in the main pass
     some = rows.where(drawn < F.lit(int(min(1.0, 1.5 * sample / max(1, n)) * (1 << 32)))).limit(2 * sample).repartition(8, "salt")
     keys = np.sort(some.mapInArrow(partial(_keyed, path=path, end_id=end_id, bounds=None, keys_only=True), "key long").toPandas()["key"].to_numpy(np.int64))
