@@ -4,6 +4,11 @@ The decoder reads the format in general: global and local palettes, LZW code
 streams of any starting width, interlacing, transparency, disposal and delays.
 The encoder writes 8-bit images with LZW.  A frame's codes are cut out of the
 stream at once, because code widths follow from positions alone.
+
+A payload is stored as a film.  Its palette gives each byte a colour of its own;
+a frame shows the next rows over those before it, writes a sample that it doesn't
+hold where a byte stays as it was, and names that sample transparent.  Frames are
+never cleared away (disposal 1), so reading composes canvases, as any viewer does.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import raw
 
 #: Bytes of a row of a payload's image, and its rows in a frame.
-WIDTH, ROWS = 192, 64
+WIDTH, ROWS = 192, 16
+#: Pixels of the largest canvas or frame that is decoded (an RGBA canvas of 256 MB).
+MOST = 1 << 26
 
 
 @dataclass
@@ -199,17 +206,28 @@ def encode(image: Image) -> bytes:
     return b"".join(out) + b"\x3b"
 
 
-def decode(data: bytes) -> Image:
-    """Frames with their indices, palettes, times and disposal; raises ValueError for what is no GIF."""
-    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
+def read(data: bytes, most: int = MOST):
+    """Yield the image without frames, then its frames one by one; raises ValueError at what is no GIF, cut short, or larger than ``most`` pixels."""
+    try:
+        yield from _read(data, most)
+    except (IndexError, struct.error) as e:
+        raise ValueError("cut short") from e
+
+
+def _read(data: bytes, most: int):
+    if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most:
+        raise ValueError("canvas too large")
     at = 13
 
     def colours(bits: int) -> np.ndarray:
         nonlocal at
         n = 3 << bits
         at += n
+        if at > len(data):
+            raise ValueError("cut short")
         return np.frombuffer(data[at - n : at], np.uint8).reshape(-1, 3)
 
     def blocks() -> bytes:
@@ -221,9 +239,9 @@ def decode(data: bytes) -> Image:
         at += 1
         return b"".join(out)
 
-    image = Image(width, height, colours((flags & 7) + 1) if flags & 0x80 else None, background)
+    yield Image(width, height, colours((flags & 7) + 1) if flags & 0x80 else None, background)
     control = {}
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         kind = data[at]
         at += 1
         if kind == 0x21:
@@ -231,7 +249,7 @@ def decode(data: bytes) -> Image:
             at += 1
             body = blocks()
             if label == 0xF9 and len(body) >= 4:
-                packed, delay, clear_at, = struct.unpack_from("<BHB", body)
+                packed, delay, clear_at = struct.unpack_from("<BHB", body)
                 control = {"delay_ms": delay * 10, "disposal": packed >> 2 & 7, "transparent": clear_at if packed & 1 else None}
         elif kind == 0x2C:
             left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at)
@@ -239,6 +257,8 @@ def decode(data: bytes) -> Image:
             own = colours((packed & 7) + 1) if packed & 0x80 else None
             bits = data[at]
             at += 1
+            if not 1 <= bits <= 8 or w * h > most:
+                raise ValueError("broken frame")
             samples = np.frombuffer(lzw_decode(blocks(), bits, w * h), np.uint8)
             if len(samples) != w * h:
                 raise ValueError("short frame")
@@ -246,61 +266,113 @@ def decode(data: bytes) -> Image:
             if packed & 0x40:
                 order = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 rows = rows[np.argsort(order)]
-            image.frames.append(Frame(rows, left, top, palette=own, **control))
+            yield Frame(rows, left, top, palette=own, **control)
             control = {}
         else:
             raise ValueError("unknown block")
+
+
+def decode(data: bytes) -> Image:
+    """The image with all frames: their indices, palettes, times and disposal; raises ValueError for what is no whole GIF."""
+    parts = read(data)
+    image = next(parts)
+    image.frames = list(parts)
     return image
 
 
-def canvases(image: Image):
-    """Yield the RGBA canvas shown for each frame, under palettes, transparency and disposal."""
-    grey = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+
+
+def compose(image: Image, frames):
+    """Yield each frame with the RGBA canvas that it shows, under palettes, transparency and disposal. The next frame draws on the canvas: copy what is kept."""
     canvas = np.zeros((image.height, image.width, 4), np.uint8)
-    for f in image.frames:
-        palette = f.palette if f.palette is not None else image.palette if image.palette is not None else grey
+    for f in frames:
+        palette = f.palette if f.palette is not None else image.palette if image.palette is not None else GREY
+        colours = np.concatenate((palette, np.full((len(palette), 1), 255, np.uint8)), axis=1)
         before = canvas.copy() if f.disposal == 3 else None
         h, w = f.indices.shape
         area = (slice(f.top, f.top + h), slice(f.left, f.left + w))
-        colour = np.concatenate((palette[np.minimum(f.indices, len(palette) - 1)], np.full((h, w, 1), 255, np.uint8)), axis=2)
         spot = canvas[area]
-        colour = colour[: spot.shape[0], : spot.shape[1]]
-        seen = f.indices[: spot.shape[0], : spot.shape[1]] != (-1 if f.transparent is None else f.transparent)
-        spot[seen] = colour[seen]
-        yield canvas.copy()
+        indices = f.indices[: spot.shape[0], : spot.shape[1]]
+        shown = colours[np.minimum(indices, len(palette) - 1)]
+        if f.transparent is None:
+            spot[...] = shown
+        else:
+            seen = indices != f.transparent
+            spot[seen] = shown[seen]
+        yield f, canvas
         if f.disposal == 2:
             canvas[area] = 0
         elif before is not None:
             canvas = before
 
 
+def canvases(image: Image):
+    """Yield the RGBA canvas shown for each frame."""
+    for _, shown in compose(image, image.frames):
+        yield shown.copy()
+
+
+def colour_histogram(shown: np.ndarray) -> np.ndarray:
+    """Pixels of an RGBA picture by 64 colours, two bits a channel, clear ones left out."""
+    pixel = np.ascontiguousarray(shown).view("<u4").ravel()
+    bins = (pixel >> 2 & 48) | (pixel >> 12 & 12) | (pixel >> 22 & 3)
+    return np.bincount(bins[pixel >> 24 > 0], minlength=64)
+
+
+def letters_palette() -> np.ndarray:
+    """A colour for each byte: red is the byte itself, so colours can be read back; green tells its kind, blue a letter's place."""
+    b = np.arange(256)
+    letter = (b | 32 >= 97) & (b | 32 <= 122) & (b < 128)
+    kind = np.select([b <= 32, letter & (b < 97), letter, (b >= 48) & (b <= 57), b < 128], [0, 85, 170, 255, 42], 213)
+    return np.stack((b, kind, np.where(letter, (b & 31) * 9, 255 - kind // 2)), axis=1).astype(np.uint8)
+
+
+PALETTE = letters_palette()
+
+
 def payload(text: bytes, unit: int = WIDTH) -> bytes:
     """The text with spaces up to a positive multiple of the unit."""
     return text + b" " * (-len(text) % unit if text else unit)
 
 
 def store(data: bytes) -> bytes:
-    """A payload as a film of grey frames, one sample a byte. The default grey palette is not written."""
+    """A payload as a film, one sample a byte."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    frames = [Frame(rows[i : i + ROWS], delay_ms=100, disposal=1) for i in range(0, len(rows), ROWS)]
-    return encode(Image(WIDTH, min(ROWS, len(rows)), None, 0, frames))
-
-
-def histogram(frames: list[np.ndarray], bins: int = 16) -> np.ndarray:
-    """Samples of all frames by colour range."""
-    return sum((np.bincount(f.ravel() >> 8 - int(bins - 1).bit_length(), minlength=bins) for f in frames), np.zeros(bins, np.int64))
+    last, frames = None, []
+    for at in range(0, len(rows), ROWS):
+        part, sample = rows[at : at + ROWS], None
+        now = part
+        if last is not None:
+            spare = np.flatnonzero(np.bincount(part.ravel(), minlength=256) == 0)
+            if len(spare):
+                sample = int(spare[-1])
+                now = np.where(part == last[: len(part)], np.uint8(sample), part)
+        frames.append(Frame(now, delay_ms=100, disposal=1, transparent=sample))
+        # rows that a short last frame leaves uncovered belong to no frame after it
+        last = part
+    return encode(Image(WIDTH, min(ROWS, len(rows)), PALETTE, 0, frames))
+
+
+def restored(media: bytes):
+    """Yield the frames of a stored payload with what each shows, whose red is its part of the payload."""
+    parts = read(media)
+    image = next(parts)
+    for f, canvas in compose(image, parts):
+        yield f, canvas[: f.indices.shape[0]]
 
 
 def _film(t: bytes) -> tuple:
     kept = store(payload(t))
-    image = decode(kept)
-    back = b"".join(f.indices.tobytes() for f in image.frames)
-    frames = [
-        {"index": i, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": f.indices.shape[1], "height": f.indices.shape[0], "histogram": histogram([f.indices]).tolist()} for i, f in enumerate(image.frames)
-    ]
-    total = np.sum([f["histogram"] for f in frames], axis=0)
+    back, frames, total = [], [], np.zeros(64, np.int64)
+    for i, (f, shown) in enumerate(restored(kept)):
+        back.append(shown[..., 0].tobytes())
+        found = colour_histogram(shown)
+        total += found
+        frames.append({"index": i, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": f.indices.shape[1], "height": f.indices.shape[0], "histogram": found.tolist()})
+    data = b"".join(back)
     share = (total * 255 // max(1, int(total.sum()))).astype(np.uint8)
-    return kept, frames, len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(kept), hashlib.sha256(kept).hexdigest(), share.tobytes().hex()
+    return kept, frames, len(t), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(kept), hashlib.sha256(kept).hexdigest(), share.tobytes().hex()
 
 
 FRAME = pa.struct([("index", pa.int32()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
@@ -317,28 +389,27 @@ def _films(batches, want: list[str]):
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), *cols], ["doc_id", *want])
 
 
-def _decoded(batches):
-    grid = (1 << 6) - 1
+def _decoded(batches, most: int):
     for b in batches:
+        kind = DECODED(b.schema.field(0).type)
         rows: list[dict] = []
         for at in range(b.num_rows):
             doc_id, media = b.column(0)[at].as_py(), b.column(1)[at].as_py()
+            start = 0
             try:
-                image, start, error = decode(media or b""), 0, None
-                for i, (f, shown) in enumerate(zip(image.frames, canvases(image))):
-                    bins = (shown[..., 0] >> 6).astype(np.int64) << 4 | (shown[..., 1] >> 6).astype(np.int64) << 2 | shown[..., 2] >> 6
+                parts = read(media or b"", most)
+                image = next(parts)
+                for i, (f, shown) in enumerate(compose(image, parts)):
                     rows.append({"doc_id": doc_id, "index": i, "start_ms": start, "delay_ms": f.delay_ms, "width": image.width, "height": image.height,
-                                 "rgba": shown.tobytes(), "histogram": np.bincount(bins.ravel()[shown[..., 3].ravel() > 0], minlength=grid + 1).tolist(), "error": None})
+                                 "rgba": shown.tobytes(), "histogram": colour_histogram(shown).tolist(), "error": None})
                     start += f.delay_ms
-                    if len(rows) >= 32:
-                        yield pa.RecordBatch.from_pylist(rows, DECODED(b.schema.field(0).type))
+                    if len(rows) >= 32 or len(rows) * shown.size > 1 << 26:
+                        yield pa.RecordBatch.from_pylist(rows, kind)
                         rows = []
-            except (ValueError, IndexError, struct.error) as e:
-                error = str(e) or "cut short"
-            if error is not None:
-                rows.append({"doc_id": doc_id, "error": error})
+            except ValueError as e:
+                rows.append({"doc_id": doc_id, "error": str(e)})
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, DECODED(b.schema.field(0).type))
+            yield pa.RecordBatch.from_pylist(rows, kind)
 
 
 def DECODED(kind: pa.DataType) -> pa.Schema:  # noqa: N802
@@ -346,15 +417,16 @@ def DECODED(kind: pa.DataType) -> pa.Schema:  # noqa: N802
     return pa.schema([("doc_id", kind), ("index", whole), ("start_ms", pa.int64()), ("delay_ms", whole), ("width", whole), ("height", whole), ("rgba", binary), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
 
 
-def decode_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def decode_frames(media: DataFrame, most: int = MOST, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per frame of any GIF column: when it starts, how long it shows, its
     composed RGBA canvas and a histogram of 64 colours (two bits a channel, clear
-    pixels left out).  What is null or no whole GIF gives its good frames, then
-    a row with ``error``.
+    pixels left out).  What is null, no whole GIF, or larger than ``most`` pixels
+    gives its good frames, then a row with ``error``.  Repeated rows are decoded as
+    often as they occur; other columns are not read.
     """
     kind = media.schema[id_col].dataType.simpleString()
     return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(
-        _decoded, f"doc_id {kind}, index int, start_ms long, delay_ms int, width int, height int, rgba binary, histogram array<long>, error string"
+        partial(_decoded, most=most), f"doc_id {kind}, index int, start_ms long, delay_ms int, width int, height int, rgba binary, histogram array<long>, error string"
     )
 
 
@@ -363,7 +435,8 @@ def films(docs: DataFrame, want: tuple[str, ...] = NAMES, id_col: str = "doc_id"
     histograms, and digests of what was read back from the stored bytes.
 
     Null texts are stored as empty ones (spaces alone); repeated rows give equal
-    values; an empty table gives no rows; other columns are not read.
+    values; a long text is stored whole, in as many frames as it takes; an empty
+    table gives no rows; other columns are not read, so their names may clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     types = dict(zip(NAMES, ("binary", "array<struct<index:int,delay_ms:int,disposal:int,width:int,height:int,histogram:array<long>>>", "long", "long", "string", "long", "long", "string", "string")))

@@ -27,7 +27,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    chats = chat.format_paths(chat.linear_trees(rows.unionByName(extra)))
+    chats = chat.format_paths(chat.linear_trees(rows.unionByName(extra)), unique=True)
     turns = chat.read_back(F.col("formatted"))
     read = chats.select("tree_id", "formatted", turns.alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     loss = F.array_join("loss", "")
@@ -47,7 +47,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.films(table(spark, sf_dir, "documents"), gif.NAMES[2:])
+    return gif.films(table(spark, sf_dir, "documents"), (*gif.NAMES[2:], *gif.NAMES[:2]))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,40 @@ def test_decoded_frames(spark):
     assert {r.doc_id for r in rows if r.error} >= {2, 3}
 
 
+def test_cut_and_broken_films(spark):
+    """Good frames first, then one row with an error."""
+    palette = np.array([[0, 0, 0], [255, 255, 255]], np.uint8)
+    whole = gif.encode(gif.Image(4, 2, palette, 0, [gif.Frame(np.full((2, 4), k % 2), delay_ms=50) for k in range(3)]))
+    second = whole.index(b"\x21\xf9", whole.index(b"\x21\xf9") + 1)
+    code_size = whole.index(b"\x2c") + 10
+    huge = whole[:6] + b"\xff\xff\xff\xff" + whole[10:]
+    films = {1: whole, 2: whole[: second + 20], 3: whole[:second], 4: whole[:code_size] + b"\xc8" + whole[code_size + 1 :], 5: huge, 6: whole[:8], 7: b"", 8: whole[:-1], 9: whole[:second] + b"\x07" + whole[second:]}
+    rows = gif.decode_frames(spark.createDataFrame([(k, bytearray(v)) for k, v in films.items()], "doc_id long, media binary")).collect()
+    good = {k: [r["index"] for r in rows if r.doc_id == k and r.error is None] for k in films}
+    assert good == {1: [0, 1, 2], 2: [0], 3: [0], 4: [], 5: [], 6: [], 7: [], 8: [0, 1, 2], 9: [0]}
+    assert {k: sum(r.doc_id == k and r.error is not None for r in rows) for k in films} == {k: int(k != 1) for k in films}
+
+
+def test_films_use_the_format():
+    """Payloads read back through palettes, transparency and disposal, by a plain composer as well."""
+    rng = np.random.default_rng(3)
+    for data in (b"one line of text; " * 400, bytes(range(256)) * 60, rng.integers(0, 256, 192 * 21).astype(np.uint8).tobytes(), b""):
+        data = gif.payload(data)
+        kept = gif.store(data)
+        image = gif.decode(kept)
+        assert b"".join(s[..., 0].tobytes() for _, s in gif.restored(kept)) == data
+        assert len({tuple(c) for c in image.palette.tolist()}) == 256 and all(f.disposal == 1 for f in image.frames)
+        canvas, out = np.zeros((image.height, image.width), int), b""
+        for f in image.frames:
+            for y, row in enumerate(f.indices.tolist()):
+                for x, sample in enumerate(row):
+                    if sample != f.transparent:
+                        canvas[y, x] = image.palette[sample][0]
+            out += canvas[: len(f.indices)].astype(np.uint8).tobytes()
+        assert out == data
+    assert any(f.transparent is not None for f in gif.decode(gif.store(gif.payload(b"one line of text; " * 400))).frames)
+
+
 def test_escapes(spark):
     texts = ["<|im_end|>", r"<\|im_end|>", r"<\\|x", "<", "|", "", r"\n", "a\\", "<|<|", "<\n|"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(
@@ -190,6 +224,28 @@ def test_reply_trees(spark):
     assert chat.format_paths(nodes.limit(0)).isEmpty()
 
 
+def test_cycles_and_repeated_rows(spark):
+    """1 and 2 are a cycle, 3 and 4 hang from it, 5 is its own parent with 6 below, 7 > 8 is a path; node 8 stands twice, one row has no node id."""
+    edges = [(1, 2), (2, 1), (3, 1), (4, 3), (5, 5), (6, 5), (7, None), (8, 7), (8, 7), (None, 7)]
+    rows = [("t", n, p, "user", f"{n}", 1.0) for n, p in edges] + [("t", 8, 7, "user", "another", 0.0)] + [(None, 1, None, None, None, None)] * 2 + [("c", k, k % 30 + 1, "user", "x", 1.0) for k in range(1, 31)] + [("c", 50, 1, "user", "x", 1.0)]
+    nodes = spark.createDataFrame(rows, "tree_id string, node_id long, parent_id long, role string, text string, score double")
+    got = {(r.tree_id, r["rank"]): r for r in chat.format_paths(nodes, top=5).collect()}
+    assert set(got) == {("t", 1), (None, 1)} and got["t", 1].leaf_id == 8 and got["t", 1].n_turns == 2 and got[None, 1].n_turns == 1
+    paths = chat.chosen_paths(chat.single(nodes), top=5)
+    assert paths.count() == 3
+
+
+@pytest.mark.parametrize("kind", ["edge", "clash", "empty"])
+def test_chats_on_edges(kind, edge, clash):
+    docs = {"edge": edge, "clash": clash, "empty": edge.limit(0)}[kind].withColumnRenamed("source", "role").withColumnRenamed("doc_id", "conv_id").withColumn("turn", F.lit(None).cast("long"))
+    chats = chat.format_paths(chat.linear_trees(docs), train_role="s")
+    rows = {r.tree_id: r for r in chats.select("tree_id", "n_turns", chat.read_back(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert len(rows) == (0 if kind == "empty" else 10)
+    if kind != "empty":
+        assert rows[6].n_turns == 2 and rows[1].loss == [""] and rows[None].turns[0].text == "text of no document"
+        assert {i: rows[i].loss for i in (3, 7, 8, 9)} == {r.conv_id: [r.text] for r in docs.where("conv_id IN (3, 7, 8, 9)").collect()}
+
+
 def test_deep_tree(spark):
     n = 700
     nodes = spark.range(n).selectExpr("1L AS tree_id", "id AS node_id", "IF(id > 0, id - 1, NULL) AS parent_id", "'user' AS role", "CAST(id AS STRING) AS text", "0.0D AS score")

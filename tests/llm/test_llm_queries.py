@@ -165,12 +165,22 @@ def test_lm_learns_from_context(docs_of):
 
 
 def test_media(spark, texts):
+    from panelwright.llm import gif
+
     got = queries.op6_media_columns(spark, "/root/testdata/sf0.001").toPandas().set_index("doc_id")
     for i, t in texts.items():
         data = t.encode()
         padded = data + b" " * (-len(data) % 192 if data else 192)
         r = got.loc[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        media = bytes(r.media)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        # colours by hand: what is composed from the stored bytes is the payload under the palette
+        colours = Counter(tuple(c >> 6 for c in gif.PALETTE[b].tolist()) for b in padded)
+        by_frame = np.sum([f["histogram"] for f in r.frames], axis=0)
+        assert {(k >> 4, k >> 2 & 3, k & 3): n for k, n in enumerate(by_frame.tolist()) if n} == colours
+        assert r.feature == bytes(n * 255 // len(padded) for n in by_frame.tolist()).hex()
+        assert [f["delay_ms"] for f in r.frames] == [100] * -(-len(padded) // (192 * gif.ROWS))
     assert (got.groupby("payload_sha256").feature.nunique() == 1).all()
 
 
