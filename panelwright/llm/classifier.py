@@ -1,10 +1,11 @@
 """Quality classifier over random-indexing word vectors.
 
-Words hash into buckets.  A bucket's index vector is random and sparse; its
-context vector sums the index vectors of neighbouring words over the whole
-corpus, as a co-occurrence matrix (bounded: buckets x buckets, made per task
-and summed natively) times the index vectors.  A word's shape (letter case,
-digits, marks) has an index vector of its own.  A document is the mean of its
+Each word has an index vector, random, sparse and known from its hash alone.  The
+context vector of a word sums the index vectors of its neighbours over the whole
+corpus; sums are made per task and added natively.  The most frequent words
+(exact counts, at most ``head`` of them) have context vectors of their own, rarer
+ones share those of ``BUCKETS`` groups by hash.  A word's shape (letter case,
+digits, marks) has an index vector as well.  A document is the mean of its
 words' vectors, and a two-layer network in numpy, whose temperature is set on
 labelled rows that it didn't train on, gives the probability of label 1.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -21,8 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc, raw
+from .lm import TEXT_END, frequent, word_counts
 
-BUCKETS, SHAPES, DIM = 1024, 256, 64
+#: Words with vectors of their own, groups of rarer words, shapes, numbers in a vector.
+HEAD, BUCKETS, SHAPES, DIM = 32_768, 1024, 256, 64
+#: Index vectors that words draw theirs from by hash.
+DRAWS = 1 << 16
 #: Labelled rows that the network is fitted on, at the most: those with the smallest hash of their id.
 SAMPLE = 20_000
 
@@ -30,38 +36,67 @@ SAMPLE = 20_000
 def index_vectors(n: int, dim: int = DIM, filled: int = 8, seed: int = 17) -> np.ndarray:
     """Sparse ternary vectors."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((n, dim), np.float32)
-    for row in out:
-        row[rng.choice(dim, filled, replace=False)] = rng.choice((-1.0, 1.0), filled)
+    out = np.zeros((n, dim), np.int8)
+    at = np.argsort(rng.random((n, dim)), axis=1)[:, :filled]
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), (n, filled)), axis=1)
     return out
 
 
+_DRAWN: dict[int, np.ndarray] = {}
+
+
+def drawn() -> np.ndarray:
+    if not _DRAWN:
+        _DRAWN[0] = index_vectors(DRAWS)
+    return _DRAWN[0]
+
+
 _RUNS = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"))
 
 
 class Words(dict):
-    """Word -> bucket * SHAPES + shape; kept words are dropped when there are many."""
+    """Word -> (row of its vector, its index vector, its shape) as one number; kept words are dropped when there are many."""
+
+    def __init__(self, head: dict[bytes, int]):
+        self.head = head
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        shape = word[:64]
+        shape, low = word, word.lower()
         for run, mark in _RUNS:
             shape = run.sub(mark, shape)
-        self[word] = code = zlib.crc32(word.lower()) % BUCKETS * SHAPES + zlib.crc32(shape) % SHAPES
+        crc = zlib.crc32(low)
+        at = self.head.get(low, len(self.head) + crc % BUCKETS)
+        self[word] = code = (at * DRAWS + (crc >> 10) % DRAWS) * SHAPES + zlib.crc32(shape) % SHAPES
         return code
 
 
-_WORDS = Words()
+@dataclass
+class Head:
+    """Words with vectors of their own, and how a worker finds the codes of any."""
+
+    index: dict[bytes, int]
 
+    def words(self) -> Words:
+        if not hasattr(self, "_words"):
+            self._words = Words(self.index)
+        return self._words
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def rows(self) -> int:
+        return len(self.index) + BUCKETS
+
+
+def _codes(texts: list[bytes], head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, index vectors and shapes of the words of texts laid end to end, and the texts' lengths."""
     found = [t.split() for t in texts]
-    get = _WORDS.__getitem__
-    return np.array([get(w) for x in found for w in x], np.int64), np.array([len(x) for x in found])
+    get = head.words().__getitem__
+    code = np.array([get(w) for x in found for w in x], np.int64)
+    return code // (SHAPES * DRAWS), code // SHAPES % DRAWS, code % SHAPES, np.array([len(x) for x in found])
 
 
-def _chunks(batches, size: int = 1 << 22):
+def _chunks(batches, size: int = 1 << 21):
     for b in batches:
         texts, at = raw(b, "text"), 0
         while at < len(texts):
@@ -73,42 +108,61 @@ def _chunks(batches, size: int = 1 << 22):
             at = end
 
 
-def _cooccurrence(batches, window: int):
-    """Counts of neighbouring buckets in a task's texts, a row for each bucket that occurs."""
-    counts, any_rows = np.zeros(BUCKETS * BUCKETS, np.int64), False
-    for _, texts in _chunks(batches):
-        codes, lengths = _codes(texts)
-        bucket, doc = codes // SHAPES, np.repeat(np.arange(len(lengths)), lengths)
-        for step in range(1, window + 1):
-            same = doc[step:] == doc[:-step]
-            counts += np.bincount((bucket[:-step] * BUCKETS + bucket[step:])[same], minlength=len(counts))
-        any_rows = True
-    if any_rows:
-        table = counts.reshape(BUCKETS, BUCKETS)
-        vectors = (table + table.T) @ index_vectors(BUCKETS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), *[pa.array(c) for c in vectors.T.copy()]], ["bucket", *[f"v{i}" for i in range(DIM)]])
+def _sums(index: np.ndarray, rows: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The indices that occur and the sums of their rows."""
+    order = np.argsort(index, kind="stable")
+    low = index[order]
+    at = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    return low[at], np.add.reduceat(rows[order], at, axis=0, dtype=kind)
 
 
-def word_vectors(texts: DataFrame, window: int = 2) -> np.ndarray:
-    """Each bucket's vector: its context vector at unit length plus its index vector. Sums are of integers, so exact."""
+def _contexts(batches, head, window: int):
+    """A task's sums of neighbours' index vectors, a row for each word or group that occurs."""
+    sums = None
+    for _, texts in _chunks(batches):
+        at, index, _, lengths = _codes(texts, head.value)
+        if not len(at):
+            continue
+        doc, own = np.repeat(np.arange(len(lengths)), lengths), drawn()[index]
+        near = np.zeros(own.shape, np.int8)
+        for step in range(1, window + 1):
+            same = (doc[step:] == doc[:-step])[:, None]
+            near[step:] += own[:-step] * same
+            near[:-step] += own[step:] * same
+        if sums is None:
+            sums = np.zeros((head.value.rows, DIM), np.int64)
+        some, got = _sums(at, near, np.int64)
+        sums[some] += got
+    if sums is not None:
+        some = np.flatnonzero(sums.any(axis=1))
+        for k in range(0, len(some), 4096):
+            part = sums[some[k : k + 4096]]
+            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 4096].astype(np.int32)), *[pa.array(c) for c in part.T.copy()]], ["row", *[f"v{i}" for i in range(DIM)]])
+
+
+def word_vectors(texts: DataFrame, head: int = HEAD, window: int = 2) -> tuple[Head, np.ndarray]:
+    """The words with vectors of their own, and the context vectors of all rows at unit length. Sums are of integers, so exact."""
+    rows, _, _ = frequent(word_counts(texts).where(F.col("word") != F.lit(TEXT_END)), head)
+    known = Head({w: i for i, w in enumerate(rows["word"])})
+    shared = texts.sparkSession.sparkContext.broadcast(known)
     names = [f"v{i}" for i in range(DIM)]
-    rows = texts.select("text").mapInArrow(partial(_cooccurrence, window=window), "bucket int, " + ", ".join(f"{n} long" for n in names))
-    got = rows.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas().sort_values("bucket")
-    context = np.zeros((BUCKETS, DIM))
-    context[got["bucket"].to_numpy(int)] = got[names].to_numpy(float)
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
-    return (context + index_vectors(BUCKETS) / np.sqrt(8)).astype(np.float32)
+    runs = texts.select("text").mapInArrow(partial(_contexts, head=shared, window=window), "row int, " + ", ".join(f"{n} long" for n in names))
+    got = runs.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    context = np.zeros((known.rows, DIM), np.float32)
+    context[got["row"].to_numpy(int)] = got[names].to_numpy(np.float32)
+    return known, context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row per text: mean word vector, mean shape vector, both norms, log of the length."""
-    codes, lengths = _codes(texts)
+def pooled(texts: list[bytes], head: Head, vectors: np.ndarray) -> np.ndarray:
+    """A row per text: mean of its words' context and index vectors, of their shapes' vectors, both norms, log of the length."""
+    at, index, shape, lengths = _codes(texts, head)
     doc, n = np.repeat(np.arange(len(lengths)), lengths), np.maximum(lengths, 1)[:, None]
-    shapes = index_vectors(SHAPES, seed=29) / np.sqrt(8)
-    out = []
-    for code, size, table in ((codes // SHAPES, BUCKETS, vectors), (codes % SHAPES, SHAPES, shapes)):
-        bag = np.bincount(doc * size + code, minlength=len(lengths) * size).reshape(len(lengths), size).astype(np.float32)
-        out.append((bag @ table) / n)
+    full, starts = lengths > 0, (np.cumsum(lengths) - lengths)[lengths > 0]
+    words = np.zeros((len(lengths), DIM), np.float32)
+    if full.any():
+        words[full] = np.add.reduceat(vectors[at], starts, axis=0) + np.add.reduceat(drawn()[index], starts, axis=0, dtype=np.int32) / np.sqrt(8)
+    bag = np.bincount(doc * SHAPES + shape, minlength=len(lengths) * SHAPES).reshape(len(lengths), SHAPES).astype(np.float32)
+    out = [words / n, bag @ (index_vectors(SHAPES, seed=29) / np.sqrt(8)) / n]
     norms = [np.linalg.norm(x, axis=1, keepdims=True) for x in out]
     return np.concatenate([*out, *norms, np.log1p(lengths)[:, None] / 10], axis=1).astype(np.float32)
 
@@ -154,50 +208,62 @@ class Network:
         self.temperature = min(np.geomspace(0.25, 8, 61), key=loss)
 
 
-def _featured(batches, vectors: np.ndarray):
+def _featured(batches, head, vectors):
     for b, texts in _chunks(batches, 1 << 20):
-        x = pooled(texts, vectors)
+        x = pooled(texts, head.value, vectors.value)
         yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")), b.column(b.schema.get_field_index("k")), pa.array(list(x), pa.list_(pa.float32()))], ["y", "k", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Word vectors from all texts, and a network from labelled rows whose id's CRC-32 isn't divisible by ``mod``.
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, sample: int = SAMPLE):
+    """Word vectors from all texts (head and vectors as broadcasts), and a network from labelled rows whose id's CRC-32 isn't divisible by ``mod``.
 
     Rows with a null label or id don't count, of several labels of an id the
-    mean decides, and a single class of labels gives a network that is sure of it.
+    mean decides, of several texts of an id the one with the least features, and a
+    single class of labels gives a network that is sure of it.  The temperature is
+    set on every eighth row, which the network isn't fitted on; of fewer than 16
+    rows, on those that it is fitted on.
     """
-    vectors = word_vectors(docs)
+    sc = docs.sparkSession.sparkContext
+    known, context = word_vectors(docs)
+    head, vectors = sc.broadcast(known), sc.broadcast(context)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(id_crc(F.col("doc_id")) % mod != 0)
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most `sample` rows of two numbers, so small enough to send to every task
-    texts = docs.join(F.broadcast(known), "doc_id").select("y", F.xxhash64("doc_id").alias("k"), "text")
-    rows = texts.mapInArrow(partial(_featured, vectors=vectors), "y int, k long, x array<float>").orderBy("k", "x").limit(2 * sample).toPandas()
+    # at most `sample` rows of two numbers, so small enough to send to every task; one row of each id comes back
+    texts = docs.join(F.broadcast(known), "doc_id").select("y", F.col("doc_id").alias("k"), "text")
+    rows = texts.mapInArrow(partial(_featured, head=head, vectors=vectors), f"y int, k {docs.schema['doc_id'].dataType.simpleString()}, x array<float>")
+    rows = rows.groupBy("k").agg(F.min("x").alias("x"), F.min("y").alias("y")).toPandas()
     net = Network(2 * DIM + 3)
     if len(rows):
+        rows = rows.sort_values("k")
+        rows = rows.iloc[np.argsort([zlib.crc32(str(k).encode()) for k in rows["k"]], kind="stable")]
         x, y = np.stack(rows["x"].map(np.asarray)).astype(float), rows["y"].to_numpy(float)
-        aside = np.arange(len(x)) % 8 == 0
-        aside &= len(x) >= 80
+        aside = np.arange(len(x)) % 8 == 0 if len(x) >= 16 else np.zeros(len(x), bool)
         net.fit(x[~aside], y[~aside])
-        if aside.any():
-            net.calibrate(x[aside], y[aside])
-    return vectors, net
+        check = aside if aside.any() else ~aside
+        net.calibrate(x[check], y[check])
+    return head, vectors, net
 
 
-def _scores(batches, vectors: np.ndarray, net: Network, names: list[str]):
+def _scores(batches, head, vectors, net: Network, names: list[str]):
     for b, texts in _chunks(batches, 1 << 20):
-        p = net.probability(pooled(texts, vectors))
+        p = net.probability(pooled(texts, head.value, vectors.value))
         yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in names], pa.array(p)], [*names, "__score"])
 
 
-def score(docs: DataFrame, labels: DataFrame, columns: list[str], mod: int = 5, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, columns: list[str], mod: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The wanted columns of all documents, with ``__score``, the probability of label 1.
 
     Null texts count as empty and get a score like any; repeated rows get equal
-    scores; an empty table gives no rows.
+    scores; texts are scored whole, long ones too; ties in frequency go to the
+    smaller word; an empty table gives no rows.  Of the wanted columns' names only
+    ``__score`` is reserved; other columns are not read, so their names may clash.
     """
-    docs = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    vectors, net = fit(docs.select("doc_id", "text"), labels, mod, sample)
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    head, vectors, net = fit(plain, labels, mod, sample)
+    # renamed by place, so that an input column may have any name
     columns = list(columns)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    read = docs.select(*dict.fromkeys([*columns, "text"]))
-    return read.mapInArrow(partial(_scores, vectors=vectors, net=net, names=columns), f"{fields}, __score double")
+    kept = [f"c{k}" for k in range(len(columns))]
+    fields = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, columns))
+    read = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(kept, columns)], F.col(text_col).alias("text"))
+    out = read.mapInArrow(partial(_scores, head=head, vectors=vectors, net=net, names=kept), f"{fields}, __score double")
+    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, columns)], "__score")

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -262,14 +263,23 @@ def _scored(batches, head, rows: np.ndarray):
         )
 
 
-def learn_head(counts: DataFrame, head: int, classes: int) -> Head:
-    """The frequent words of a (word, n) table, at most ``head`` of which reach the driver, and the counts of all classes."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) of all tokens of a table of texts."""
+    return checkpointed(texts.select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def frequent(counts: DataFrame, head: int) -> tuple[pd.DataFrame, int, int]:
+    """The most frequent words in rank order, cut at a power-of-two count so that ``head`` at the most reach the driver; all tokens; all words."""
     level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     by = counts.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).toPandas().sort_values("level", ascending=False)
-    total, distinct = int(by["n"].sum()), int(by["k"].sum())
     fits = by[by["k"].cumsum() <= head]["level"]
     rows = counts.where(level >= int(fits.min())).toPandas() if len(fits) else counts.limit(0).toPandas()
-    rows = rows.assign(word=rows["word"].map(bytes)).sort_values(["n", "word"], ascending=[False, True])
+    return rows.assign(word=rows["word"].map(bytes)).sort_values(["n", "word"], ascending=[False, True]), int(by["n"].sum()), int(by["k"].sum())
+
+
+def learn_head(counts: DataFrame, head: int, classes: int) -> Head:
+    """The frequent words of a (word, n) table and the counts of all classes."""
+    rows, total, distinct = frequent(counts, head)
     words, n = list(rows["word"]), rows["n"].to_numpy(np.int64)
     plain = min(classes // 2, len(words))
     endings = classes // 2
@@ -297,7 +307,7 @@ def score(docs: DataFrame, head: int = 131_072, classes: int = 1024, dim: int =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (id_crc(F.col(id_col)) % mod == 0).alias("held_out"))
     training = rows.where(~F.col("held_out")).select("text")
-    counts = checkpointed(training.mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = word_counts(training)
     h = learn_head(counts, head, classes)
     shared = spark.sparkContext.broadcast(h)
     model, noise_p = initial(h, dim, seed).rows(), h.unigram()

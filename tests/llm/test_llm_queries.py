@@ -65,6 +65,36 @@ def test_classifier_on_held_out_rows(spark):
     assert np.allclose(got.set_index("doc_id").score.sort_index(), again.sort_index(), atol=1e-6)
 
 
+def test_word_vectors_by_hand(docs_of):
+    """Context vectors and pooled features, word by word in plain numpy."""
+    from panelwright.llm import classifier as c
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["The", "the", "river", "RUNS", "down", "42", "a-b", "x" * 300, "ß", "hill"]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 30)))) for i in range(60)] + [(99, None)]
+    head, vectors = c.word_vectors(docs_of(rows), head=6)
+    count = Counter(w.encode().lower() for _, t in rows for w in words(t))
+    assert 0 < len(head.index) <= 6 and set(head.index) == {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: len(head.index)]}
+    draws, shapes = c.index_vectors(c.DRAWS).astype(float), c.index_vectors(c.SHAPES, seed=29).astype(float)
+    row = lambda w: head.index.get(w.lower(), len(head.index) + zlib.crc32(w.lower()) % c.BUCKETS)
+    own = lambda w: draws[(zlib.crc32(w.lower()) >> 10) % c.DRAWS]
+    shape = lambda w: shapes[zlib.crc32(re.sub(rb"[0-9]+", b"0", re.sub(rb"[A-Z]+", b"A", re.sub(rb"[a-z\x80-\xff]+", b"a", w)))) % c.SHAPES]
+    want = np.zeros(vectors.shape)
+    for _, t in rows:
+        w = [x.encode() for x in words(t)]
+        for i in range(len(w)):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if i != j:
+                    want[row(w[i])] += own(w[j])
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vectors, want, atol=1e-5)
+    got = c.pooled([(t or "").encode() for _, t in rows], head, vectors)
+    for (_, t), x in zip(rows, got):
+        w = [y.encode() for y in words(t)]
+        mean = [sum((f(y) for y in w), np.zeros(c.DIM)) / max(1, len(w)) for f in (lambda y: want[row(y)] + own(y) / 8**0.5, lambda y: shape(y) / 8**0.5)]
+        assert np.allclose(x, [*mean[0], *mean[1], *map(np.linalg.norm, mean), np.log1p(len(w)) / 10], atol=1e-4)
+
+
 def test_simhash_against_all_pairs(spark, some, texts):
     got = queries.op8_simhash_near_dedup(spark, "/root/testdata/sf0.001").toPandas().set_index("doc_id")
     prints = {}
