@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, raw
+from .common import hold, id_crc, raw
 from .lm import TEXT_END, frequent, word_counts
 
 #: Words with vectors of their own, groups of rarer words, shapes, numbers in a vector.
@@ -81,6 +81,7 @@ class Head:
     def words(self) -> Words:
         if not hasattr(self, "_words"):
             self._words = Words(self.index)
+        hold("classifier", self._words)
         return self._words
 
     @property
@@ -96,7 +97,7 @@ def _codes(texts: list[bytes], head: Head) -> tuple[np.ndarray, np.ndarray, np.n
     return code // (SHAPES * DRAWS), code // SHAPES % DRAWS, code % SHAPES, np.array([len(x) for x in found])
 
 
-def _chunks(batches, size: int = 1 << 21):
+def _chunks(batches, size: int = 1 << 20):
     for b in batches:
         texts, at = raw(b, "text"), 0
         while at < len(texts):
@@ -108,12 +109,23 @@ def _chunks(batches, size: int = 1 << 21):
             at = end
 
 
-def _sums(index: np.ndarray, rows: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The indices that occur and the sums of their rows."""
+def _add(sums: np.ndarray, index: np.ndarray, near: np.ndarray, most: int) -> None:
+    """Add rows of small numbers (of -most to most) to those of ``sums`` that the index names.
+
+    Four numbers add up in a word at a time, 16 bits each, over up to 4096 rows.
+    """
     order = np.argsort(index, kind="stable")
     low = index[order]
-    at = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    return low[at], np.add.reduceat(rows[order], at, axis=0, dtype=kind)
+    new = np.concatenate(([True], low[1:] != low[:-1]))
+    start = np.maximum.accumulate(np.where(new, np.arange(len(low)), 0))
+    at = np.flatnonzero((np.arange(len(low)) - start) % 4096 == 0)
+    lanes = (near + np.int8(most)).astype(np.uint16).view(np.uint64)[order]
+    size = np.diff(np.append(at, len(low)))
+    got = np.add.reduceat(lanes, at, axis=0).view(np.uint16).astype(np.int64) - most * size[:, None]
+    first = new[at]
+    sums[low[at[first]]] += got[first]
+    for row, more in zip(low[at[~first]].tolist(), got[~first]):
+        sums[row] += more
 
 
 def _contexts(batches, head, window: int):
@@ -126,13 +138,15 @@ def _contexts(batches, head, window: int):
         doc, own = np.repeat(np.arange(len(lengths)), lengths), drawn()[index]
         near = np.zeros(own.shape, np.int8)
         for step in range(1, window + 1):
-            same = (doc[step:] == doc[:-step])[:, None]
-            near[step:] += own[:-step] * same
-            near[:-step] += own[step:] * same
+            near[step:] += own[:-step]
+            near[:-step] += own[step:]
+            # words of different texts are no neighbours
+            apart = np.flatnonzero(doc[step:] != doc[:-step])
+            near[apart + step] -= own[apart]
+            near[apart] -= own[apart + step]
         if sums is None:
             sums = np.zeros((head.value.rows, DIM), np.int64)
-        some, got = _sums(at, near, np.int64)
-        sums[some] += got
+        _add(sums, at, near, 2 * window)
     if sums is not None:
         some = np.flatnonzero(sums.any(axis=1))
         for k in range(0, len(some), 4096):
@@ -157,10 +171,12 @@ def pooled(texts: list[bytes], head: Head, vectors: np.ndarray) -> np.ndarray:
     """A row per text: mean of its words' context and index vectors, of their shapes' vectors, both norms, log of the length."""
     at, index, shape, lengths = _codes(texts, head)
     doc, n = np.repeat(np.arange(len(lengths)), lengths), np.maximum(lengths, 1)[:, None]
-    full, starts = lengths > 0, (np.cumsum(lengths) - lengths)[lengths > 0]
-    words = np.zeros((len(lengths), DIM), np.float32)
-    if full.any():
-        words[full] = np.add.reduceat(vectors[at], starts, axis=0) + np.add.reduceat(drawn()[index], starts, axis=0, dtype=np.int32) / np.sqrt(8)
+    words, start = np.zeros((len(lengths), DIM), np.float32), 0
+    for k, size in enumerate(lengths.tolist()):
+        for s in range(start, start + size, 1 << 16):
+            e = min(s + (1 << 16), start + size)
+            words[k] += np.ones(e - s, np.float32) @ (vectors[at[s:e]] + drawn()[index[s:e]] * np.float32(8**-0.5))
+        start += size
     bag = np.bincount(doc * SHAPES + shape, minlength=len(lengths) * SHAPES).reshape(len(lengths), SHAPES).astype(np.float32)
     out = [words / n, bag @ (index_vectors(SHAPES, seed=29) / np.sqrt(8)) / n]
     norms = [np.linalg.norm(x, axis=1, keepdims=True) for x in out]
@@ -209,7 +225,7 @@ class Network:
 
 
 def _featured(batches, head, vectors):
-    for b, texts in _chunks(batches, 1 << 20):
+    for b, texts in _chunks(batches, 1 << 19):
         x = pooled(texts, head.value, vectors.value)
         yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")), b.column(b.schema.get_field_index("k")), pa.array(list(x), pa.list_(pa.float32()))], ["y", "k", "x"])
 
@@ -245,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, sample: int = SAMPLE):
 
 
 def _scores(batches, head, vectors, net: Network, names: list[str]):
-    for b, texts in _chunks(batches, 1 << 20):
+    for b, texts in _chunks(batches, 1 << 19):
         p = net.probability(pooled(texts, head.value, vectors.value))
         yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in names], pa.array(p)], [*names, "__score"])
 

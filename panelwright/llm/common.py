@@ -63,6 +63,19 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
+_HOLDER: dict[str, tuple] = {}
+
+
+def hold(owner: str, *caches) -> None:
+    """Say which operator's caches a worker keeps: those of the one before are emptied, as workers live on."""
+    if owner not in _HOLDER:
+        for held in _HOLDER.values():
+            for cache in held:
+                cache.clear()
+        _HOLDER.clear()
+    _HOLDER[owner] = caches
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8; nulls become empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_crc, raw
+from .common import checkpointed, hold, id_crc, raw
 
 #: The token at each text's end; words hold no line end, so it is no word.
 TEXT_END = b"\n"
 SMOOTH = 0.1
+#: Log-partition values of contexts, by worker.
+_PARTITION: dict = {}
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -83,6 +85,7 @@ class Head:
         """The codes of words, kept with this head in a worker."""
         if not hasattr(self, "_codes"):
             self._codes = Codes(self)
+        hold("lm", self._codes, _PARTITION)
         return self._codes
 
     @property
@@ -215,9 +218,6 @@ def _trained(batches, head, start: np.ndarray, noise_p: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(n))), *[pa.array(c) for c in rows.T.copy()]], ["row", "w", *[f"v{i}" for i in range(rows.shape[1])]])
 
 
-_PARTITION: dict = {}
-
-
 def _partitions(model: Model, key: bytes, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Natural log of the normaliser of each context; known ones are kept by worker."""
     k = len(model.bias)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, written
+from .common import hold, raw, written
 
 #: Where a unit may end: at a line end, after a sentence mark, or before a capitalised word after a lower-case one.
 PIECE = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+|(?<=[^\W\d_A-ZÀ-Þ])[^\S\n]+(?=[A-ZÀ-Þ][^\W\d_A-ZÀ-Þ])|(?<=,)[^\S\n]+(?=[A-ZÀ-Þ][^\W\d_A-ZÀ-Þ])")
@@ -131,6 +131,7 @@ def _blocks(texts: list[str]):
 
 
 def _units(batches, min_words: int):
+    hold("substring", _HASHES)
     for b in batches:
         ids, rows = (b.column(b.schema.get_field_index(n)) for n in ("doc_id", "row"))
         texts = [t.decode("utf-8", "replace") for t in raw(b, "text")]
@@ -173,6 +174,7 @@ def cleaned(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _cleaned(batches, min_words: int, min_run: int, names: list[str]):
+    hold("substring", _HASHES)
     for b in batches:
         old = b.column(b.schema.get_field_index("text")).to_pylist()
         marked = b.column(b.schema.get_field_index("__repeated")).to_pylist()

@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from .common import hold
+
 #: Entries of each of two generations of the cache of chunks, and of that of their parts.
 CACHE, PARTS = 300_000, 700_000
 #: A chunk as lower-case Latin-1 letters (one part, in normal form), stops and commas, and what is neither.
@@ -125,7 +127,9 @@ def load(path: str) -> WordTokenizer:
     """One tokenizer for each file and worker process."""
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    found = _LOADED[path]
+    hold("tokens", *[cache for t in _LOADED.values() for cache in (t.young, t.old, t.parts)])
+    return found
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
