@@ -14,8 +14,8 @@ PRIORS = {"STATIC": (0.85, 0.10), "MIXED": (0.60, 0.15), "DYNAMIC": (0.20, 0.10)
 #: Words that speak for a type in a description.
 LEXICON = {
     "STATIC": ("value", "book", "earnings", "quality", "size", "profit", "balance", "fundamental", "price level", "估值", "盈利", "质量", "市值", "财务"),
-    "DYNAMIC": ("momentum", "reversal", "turnover", "volatility", "flow", "intraday", "short-term", "discount", "动量", "反转", "换手", "波动", "资金流"),
-    "MIXED": ("growth", "sentiment", "revision", "analyst", "quantity", "volume", "成长", "情绪", "预期", "分析师"),
+    "DYNAMIC": ("momentum", "reversal", "turnover", "volatility", "flow", "intraday", "short-term", "动量", "反转", "换手", "波动", "资金流"),
+    "MIXED": ("growth", "sentiment", "revision", "analyst", "volume", "成长", "情绪", "预期", "分析师"),
 }
 
 
@@ -48,16 +48,16 @@ def classify(prints: DataFrame) -> DataFrame:
     )
 
 
-def semantic(descriptions: DataFrame) -> DataFrame:
+def semantic(descriptions: DataFrame, lexicon: dict[str, tuple[str, ...]] = LEXICON) -> DataFrame:
     """(factor, semantic_type, strength): the type with most words in a description, and its share of all words found."""
     text = F.lower("description")
-    hits = {t: sum((F.when(text.contains(w), 1).otherwise(0) for w in words), F.lit(0)) for t, words in LEXICON.items()}
+    hits = {t: sum((F.when(text.contains(w), 1).otherwise(0) for w in words), F.lit(0)) for t, words in lexicon.items()}
     total = sum(hits.values(), F.lit(0))
     best = _ordered(hits)[0]
     return descriptions.select("factor", F.when(total > 0, best["type"]).alias("semantic_type"), F.when(total > 0, best["p"] / total).alias("strength"))
 
 
-def fuse(classes: DataFrame, prints: DataFrame, descriptions: DataFrame, months: DataFrame | None = None) -> DataFrame:
+def fuse(classes: DataFrame, prints: DataFrame, descriptions: DataFrame, months: DataFrame | None = None, lexicon: dict[str, tuple[str, ...]] = LEXICON) -> DataFrame:
     """Classes revised by descriptions.
 
     Agreement raises confidence by 30 % of the description's strength.  On conflict
@@ -65,7 +65,7 @@ def fuse(classes: DataFrame, prints: DataFrame, descriptions: DataFrame, months:
     description wins at 0.7 of its strength; up to 0.7 the factor is MIXED; from
     there statistics win at 0.6 of their confidence, for review.
     """
-    x = classes.join(prints.select("factor", "ar1_median", "coverage"), "factor").join(semantic(descriptions), "factor", "left")
+    x = classes.join(prints.select("factor", "ar1_median", "coverage"), "factor").join(semantic(descriptions, lexicon), "factor", "left")
     x = x.join(months.select("factor", "data_months"), "factor", "left") if months is not None else x.withColumn("data_months", F.lit(0))
     enough = 0.6 * F.least(F.coalesce("data_months", F.lit(0)) / 24.0, F.lit(1.0)) + 0.4 * F.coalesce("coverage", F.lit(0.0))
     near = F.least(F.abs(F.col("ar1_median") - STATIC_AR1), F.abs(F.col("ar1_median") - DYNAMIC_AR1))

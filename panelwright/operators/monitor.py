@@ -14,11 +14,12 @@ from .fingerprint import fingerprint
 
 def history_by_year(panel: DataFrame, min_window: int = 6) -> DataFrame:
     """A history of one fingerprint per factor and calendar year, made in one job: a factor's year is a factor of its own."""
-    yearly = panel.withColumn("factor", F.concat_ws("@", "factor", F.year("date")))
+    # a year has no @, so the first one ends it, whatever the factor is called
+    yearly = panel.withColumn("factor", F.concat(F.year("date").cast("string"), F.lit("@"), "factor"))
     prints = fingerprint(yearly, min_window)
     both = prints.join(classify(prints), "factor")
-    parts = F.split("factor", "@")
-    return both.select(parts[0].alias("factor"), F.make_date(parts[1].cast("int"), F.lit(12), F.lit(31)).alias("as_of"), "primary_type", "confidence", "ar1_median", "rank_autocorr")
+    year, name = F.substring_index("factor", "@", 1), F.expr("substring(factor, instr(factor, '@') + 1)")
+    return both.select(name.alias("factor"), F.make_date(year.cast("int"), F.lit(12), F.lit(31)).alias("as_of"), "primary_type", "confidence", "ar1_median", "rank_autocorr")
 
 
 def latest(history: DataFrame) -> DataFrame:

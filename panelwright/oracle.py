@@ -287,8 +287,10 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN max(gap) = 0 THEN 'none' WHEN coalesce(abs(corr(gap, mean)), 0.0) > 0.3 THEN 'level_related' ELSE 'random' END AS kind
 FROM (SELECT factor, asset, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS gap, avg(value) AS mean FROM ({two}) GROUP BY ALL) GROUP BY factor""",
         "asset_moments": f"WITH s AS ({supplier_month()}) " + rounded("factor, asset, n", "median q05 q95 mean std skew kurt", f"({moments('s')})"),
-        "pivot_wide": "SELECT factor, date, " + ", ".join(f"round(max(CASE WHEN asset = '{a}' THEN value END), 6) + 0.0 AS a{a}" for a in "123") + f" FROM ({supplier_month()}) GROUP BY factor, date",
-        "unpivot_long": f"SELECT factor, date, asset, round(value, 6) + 0.0 AS value FROM ({supplier_month()}) WHERE asset IN ('1', '2', '3')",
+        "pivot_wide": f"""WITH s AS ({supplier_month()}), e AS (SELECT min(asset) AS a, max(asset) AS z FROM s)
+SELECT factor, date, count(DISTINCT asset) AS n_assets, count(value) AS n_present, round(min(value), 6) + 0.0 AS lowest, round(max(value), 6) + 0.0 AS highest,
+  round(max(CASE WHEN asset = a THEN value END), 6) + 0.0 AS first_asset, round(max(CASE WHEN asset = z THEN value END), 6) + 0.0 AS last_asset FROM s, e GROUP BY factor, date""",
+        "unpivot_long": f"SELECT factor, date, asset, round(value, 6) + 0.0 AS value FROM ({supplier_month()})",
         "impute_median": chain(USER_DAY, median_fill),
         "impute_mean": chain(USER_DAY, mean_fill),
         "impute_constant": chain(USER_DAY, zero_fill),

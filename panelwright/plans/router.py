@@ -7,10 +7,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..operators.classify import classify, fuse
 from ..operators.fingerprint import fingerprint
 from ..operators.monitor import migrations, stability, transition_weights
+from ..sources.panels import attach_industry
 from .errors import ConfigurationError, PipelineError
 from .steps import Decouple, Garch, GatedReshape, Impute, Neutralize, Reshape, SigmaClip, Standardize, Tame
 
@@ -90,12 +92,17 @@ class FactorRouter:
         self.prints: DataFrame | None = None
         self.history: DataFrame | None = None
         self.chains: dict[str, Chain] = {}
+        self.industry: DataFrame | None = None
 
-    def fit(self, panel: DataFrame, descriptions: DataFrame | None = None, months: DataFrame | None = None, as_of=None, **kwargs: Any) -> FactorRouter:
+    def fit(self, panel: DataFrame, descriptions: DataFrame | None = None, months: DataFrame | None = None, as_of=None, industry: DataFrame | None = None, **kwargs: Any) -> FactorRouter:
+        """``industry`` (asset, industry) is attached to the panel here and, unless it brings its own, in transform."""
+        self.industry = industry
+        panel = self._attached(panel)
         if panel.isEmpty():
             raise ConfigurationError("there are no factors")
         spark, c = panel.sparkSession, self.config
-        kept = panel.persist()  # fingerprints read it four times
+        own = panel.storageLevel == StorageLevel(False, False, False, False, 1)
+        kept = panel.persist() if own else panel  # fingerprints read it four times; what the caller keeps stays kept
         try:
             # a row per factor: the driver holds as many rows as there are factors, and plans built on them don't repeat the fingerprinting
             found = fingerprint(kept, c.min_window)
@@ -103,7 +110,8 @@ class FactorRouter:
         except Exception as e:
             raise PipelineError(f"fingerprinting failed: {e}") from e
         finally:
-            kept.unpersist()
+            if own:
+                kept.unpersist()
         classes = classify(self.prints)
         if descriptions is not None:
             classes = fuse(classes, self.prints, descriptions, months)
@@ -118,12 +126,17 @@ class FactorRouter:
 
     def _of(self, panel: DataFrame, kind: str) -> DataFrame:
         wanted = F.col("primary_type") == kind if kind != "MIXED" else ~F.col("primary_type").isin("STATIC", "DYNAMIC")
-        return panel.join(F.broadcast(self.classes.where(wanted).select("factor")), "factor", "left_semi")
+        return panel.join(self.classes.where(wanted).select("factor"), "factor", "left_semi")
 
-    def transform(self, panel: DataFrame, **kwargs: Any) -> DataFrame:
+    def _attached(self, panel: DataFrame, industry: DataFrame | None = None) -> DataFrame:
+        table = industry if industry is not None else None if "industry" in panel.columns else self.industry
+        return panel if table is None else attach_industry(panel.drop("industry", "known"), table)
+
+    def transform(self, panel: DataFrame, industry: DataFrame | None = None, **kwargs: Any) -> DataFrame:
         """All factors, each through its type's pipeline; unclassified ones are left out, or an error in strict mode."""
         if self.classes is None:
             raise PipelineError("fit comes before transform")
+        panel = self._attached(panel, industry)
         if self.config.strict_mode:
             unknown = [r.factor for r in panel.select("factor").distinct().join(self.classes, "factor", "left_anti").collect()]
             if unknown:
@@ -136,8 +149,8 @@ class FactorRouter:
                 out = part if out is None else out.unionByName(part)
         return out
 
-    def fit_transform(self, panel: DataFrame, **kwargs: Any) -> DataFrame:
-        return self.fit(panel, **kwargs).transform(panel)
+    def fit_transform(self, panel: DataFrame, descriptions: DataFrame | None = None, months: DataFrame | None = None, as_of=None, industry: DataFrame | None = None, **kwargs: Any) -> DataFrame:
+        return self.fit(panel, descriptions, months, as_of, industry, **kwargs).transform(panel, industry, **kwargs)
 
     def classification_summary(self) -> DataFrame:
         return self.classes.select(F.col("factor").alias("factor_name"), "primary_type", *[c for c in ("primary_prob", "confidence") if c in self.classes.columns])

@@ -1,4 +1,8 @@
-"""Validated configurations of the routed pipelines."""
+"""Validated configurations of the routed pipelines.
+
+Names, bounds and defaults of the fields are fixed values: they are the format of
+configuration files. A key that no field has is an error.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ Share = Field(ge=0, le=1)
 
 
 class Checked(BaseModel):
-    model_config = ConfigDict(validate_assignment=True)
+    model_config = ConfigDict(validate_assignment=True, extra="forbid")
 
 
 class StepConfigV2(Checked):
@@ -45,8 +49,8 @@ class OutlierConfig(Checked):
 
 class TransformationConfig(Checked):
     method: Literal["auto", "box_cox", "yeo_johnson", "quantile", "log", "none"] = "auto"
-    skewness_threshold: float = Field(2.0, ge=0)
-    kurtosis_threshold: float = Field(5.0, ge=0)
+    skew_threshold: float = Field(2.0, ge=0)
+    kurt_threshold: float = Field(5.0, ge=0)
 
 
 class StandardizationConfig(Checked):
@@ -77,6 +81,7 @@ class GarchConfig(Checked):
 
 
 class StaticPipelineConfig(Checked):
+    name: str = "static_pipeline"
     imputation: ImputationConfig = Field(default_factory=ImputationConfig)
     outlier: OutlierConfig = Field(default_factory=OutlierConfig)
     transformation: TransformationConfig = Field(default_factory=TransformationConfig)
@@ -87,6 +92,7 @@ class StaticPipelineConfig(Checked):
 
 
 class DynamicPipelineConfig(Checked):
+    name: str = "dynamic_pipeline"
     imputation: ImputationConfig = Field(default_factory=ImputationConfig)
     neutralization: NeutralizationConfig = Field(default_factory=NeutralizationConfig)
     standardization: StandardizationConfig = Field(default_factory=StandardizationConfig)
@@ -98,6 +104,7 @@ class DynamicPipelineConfig(Checked):
 
 
 class MixedPipelineConfig(Checked):
+    name: str = "mixed_pipeline"
     imputation: ImputationConfig = Field(default_factory=ImputationConfig)
     outlier: OutlierConfig = Field(default_factory=OutlierConfig)
     transformation: TransformationConfig = Field(default_factory=TransformationConfig)
@@ -108,16 +115,16 @@ class MixedPipelineConfig(Checked):
 
 
 class PipelineV2ConfigUnified(Checked):
-    name: str = "factor_preprocessing_v2"
-    version: str = "2.0"
+    name: str = "factor_pipeline_v2"
+    version: str = "2.0.0"
     description: str = ""
     strict_order: bool = True
     track_intermediate: bool = True
     parallel: bool = False
     max_workers: int = Field(4, ge=1, le=16)
     fingerprint_window: int = Field(24, ge=12)
-    threshold_static: float = Field(0.80, ge=0.5, le=1)
-    threshold_dynamic: float = Field(0.40, ge=0, le=0.5)
+    classification_threshold_static: float = Field(0.80, ge=0.5, le=1)
+    classification_threshold_dynamic: float = Field(0.40, ge=0, le=0.5)
     enable_monitoring: bool = True
     migration_window: int = Field(12, ge=6)
     migration_threshold: float = Field(0.10, ge=0, le=1)

@@ -68,13 +68,18 @@ def asset_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = sources.pivot_wide(supplier_month(spark, sf_dir), ["1", "2", "3"])
-    return rounded(wide.select("factor", "date", *[F.col(f"`{a}`").alias(f"a{a}") for a in ("1", "2", "3")]))
+    """The wide frame of all assets, told by its rows: columns, present values, the lowest and highest, and the first and last asset's."""
+    wide = sources.pivot_wide(supplier_month(spark, sf_dir))
+    assets = [c for c in wide.columns if c not in ("factor", "date")]
+    values = F.array(*[F.col(f"`{a}`") for a in assets])
+    present = F.filter(values, lambda v: v.isNotNull())
+    ends = [F.col(f"`{a}`").alias(n) for n, a in zip(("first_asset", "last_asset"), (min(assets), max(assets)))] if assets else [F.lit(None).cast("double").alias(n) for n in ("first_asset", "last_asset")]
+    return rounded(wide.select("factor", "date", F.size(values).cast("long").alias("n_assets"), F.size(present).cast("long").alias("n_present"), F.array_min(present).alias("lowest"), F.array_max(present).alias("highest"), *ends))
 
 
 @query
 def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = sources.pivot_wide(supplier_month(spark, sf_dir), ["1", "2", "3"]).drop("factor")
+    wide = sources.pivot_wide(supplier_month(spark, sf_dir)).drop("factor")
     return cells(sources.unpivot_long(wide, "discount"))
 
 

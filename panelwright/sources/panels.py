@@ -84,8 +84,8 @@ def unpivot_long(wide: DataFrame, factor: str, date: str = "date") -> DataFrame:
     )
 
 
-def pivot_wide(panel: DataFrame, assets: list[str]) -> DataFrame:
-    """One row per factor and date, one column per listed asset."""
+def pivot_wide(panel: DataFrame, assets: list[str] | None = None) -> DataFrame:
+    """One row per factor and date, one column per asset: those listed, or all, of which Spark allows ``spark.sql.pivotMaxValues``."""
     return panel.groupBy("factor", "date").pivot("asset", assets).agg(F.first("value"))
 
 

@@ -53,9 +53,9 @@ def test_config_round_trips(tmp_path):
     ("cls", "bad"),
     [
         ("OutlierConfig", {"threshold": 0.5}), ("OutlierConfig", {"lower_percentile": 0.5, "upper_percentile": 0.5}), ("ImputationConfig", {"max_missing_ratio": 1.5}),
-        ("ImputationConfig", {"strategy": "odd"}), ("TransformationConfig", {"skewness_threshold": -1}), ("StandardizationConfig", {"target_std": 0}), ("NeutralizationConfig", {"alpha": -1}),
+        ("ImputationConfig", {"strategy": "odd"}), ("TransformationConfig", {"skew_threshold": -1}), ("StandardizationConfig", {"target_std": 0}), ("NeutralizationConfig", {"alpha": -1}),
         ("GarchConfig", {"p": 0, "q": 0}), ("GarchConfig", {"min_obs": 10}), ("GarchConfig", {"p": 6}), ("DynamicPipelineConfig", {"max_ar_order": 0}), ("DynamicPipelineConfig", {"decorrelation_strength": 2}),
-        ("PipelineV2ConfigUnified", {"max_workers": 0}), ("PipelineV2ConfigUnified", {"fingerprint_window": 11}), ("PipelineV2ConfigUnified", {"threshold_static": 0.4}), ("PipelineV2ConfigUnified", {"migration_window": 5}),
+        ("PipelineV2ConfigUnified", {"max_workers": 0}), ("PipelineV2ConfigUnified", {"fingerprint_window": 11}), ("PipelineV2ConfigUnified", {"classification_threshold_static": 0.4}), ("PipelineV2ConfigUnified", {"migration_window": 5}),
     ],
 )
 def test_bounds(cls, bad):
@@ -66,7 +66,7 @@ def test_bounds(cls, bad):
 def test_checked_config_files(tmp_path):
     c = schema_config.PipelineV2ConfigUnified(name="x")
     with pytest.raises(ValidationError):
-        c.threshold_static = 2
+        c.classification_threshold_static = 2
     schema_config.save_json(c, str(tmp_path / "c.json"))
     schema_config.save_yaml(c, str(tmp_path / "c.yaml"))
     assert schema_config.load_json(str(tmp_path / "c.json")) == c == schema_config.load_yaml(str(tmp_path / "c.yaml"))
@@ -256,3 +256,42 @@ def test_public_names():
     assert all(getattr(panelwright, n) is not None for n in panelwright.__all__)
     with pytest.raises(AttributeError):
         panelwright.nothing
+
+
+def test_reference_configuration_round_trips(tmp_path):
+    from panelwright.plans import schema_config as c
+
+    given = {"name": "mine", "version": "2.0.0", "classification_threshold_static": 0.9, "classification_threshold_dynamic": 0.3, "static": {"name": "s", "transformation": {"skew_threshold": 9.0, "kurt_threshold": 7.0}}}
+    made = c.PipelineV2ConfigUnified.model_validate(given)
+    assert (made.classification_threshold_static, made.static.transformation.skew_threshold, made.static.name, made.mixed.name) == (0.9, 9.0, "s", "mixed_pipeline")
+    c.save_json(made, str(tmp_path / "c.json"))
+    assert c.load_json(str(tmp_path / "c.json")) == made
+    with pytest.raises(ValueError):
+        c.PipelineV2ConfigUnified.model_validate({"threshold_static": 0.9})
+
+
+def test_router_takes_industry_by_keyword(spark, sf):
+    """A bare panel with the industry as an argument gives what the attached panel gives, and a cached panel stays cached."""
+    from panelwright.plans.router import FactorRouter, RouterConfig
+    from panelwright.sources.panels import supplier_industry, supplier_month
+
+    panel = supplier_month(spark, sf).persist()
+    bare, industry = panel.drop("industry", "known").persist(), supplier_industry(spark, sf)
+    want = {(r.factor, r.date, r.asset): r.value for r in FactorRouter(RouterConfig(max_ar_order=2)).fit_transform(panel).collect()}
+    router = FactorRouter(RouterConfig(max_ar_order=2))
+    for got in (router.fit_transform(bare, industry=industry), router.transform(bare)):
+        rows = {(r.factor, r.date, r.asset): r.value for r in got.collect()}
+        assert rows.keys() == want.keys() and all(abs((rows[k] or 0) - (want[k] or 0)) < 1e-9 for k in want)
+    assert bare.storageLevel.useMemory
+    panel.unpersist()
+    bare.unpersist()
+
+
+def test_history_of_odd_names(spark, sf):
+    from panelwright.operators import impute, monitor
+    from panelwright.sources.panels import supplier_month
+
+    panel = impute.impute(supplier_month(spark, sf))
+    told = lambda rows: sorted((r.as_of, r.primary_type, *(round(x, 6) for x in (r.confidence, r.ar1_median, r.rank_autocorr))) for r in rows)
+    odd = monitor.history_by_year(panel.withColumn("factor", F.lit("a@2019@b"))).collect()
+    assert {r.factor for r in odd} == {"a@2019@b"} and told(odd) == told(monitor.history_by_year(panel).collect())
