@@ -135,44 +135,70 @@ def initial(head: Head, dim: int, seed: int) -> Model:
     return Model(drawn(0.3), drawn(0.3), drawn(0.05), np.log(head.unigram()).astype(np.float32))
 
 
-def _gathered(index: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The indices that occur and the sums of their gradient rows."""
-    order = np.argsort(index, kind="stable")
-    low = index[order]
+def _summed(low: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices that occur in a sorted list and the sums of their gradients."""
     at = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    return low[at], np.add.reduceat(grad[order], at, axis=0)
+    if grad.ndim > 1 and grad.shape[1] % 2 == 0:
+        # two numbers at a time
+        return low[at], np.add.reduceat(grad.view(np.complex64), at, axis=0).view(np.float32)
+    return low[at], np.add.reduceat(grad, at, axis=0)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def train(model: Model, streams, noise_p: np.ndarray, noise: int = 64, batch: int = 1024, rate: float = 0.1, seed: int = 3) -> int:
     """One pass of noise-contrastive estimation with adaptive steps, in place; the tokens seen."""
-    rng = np.random.default_rng(seed)
+    rng, k = np.random.default_rng(seed), model.out.shape[0]
+    small = np.min_scalar_type(2 * k)
     log_noise = np.log(noise_p * noise).astype(np.float32)
-    past = [np.full_like(x, 1e-6) for x in (model.first, model.second, model.out, model.bias)]
+    context = np.concatenate((model.first, model.second))
+    past = [np.full_like(x, 1e-6) for x in (context, model.out, model.bias)]
 
     def step(x: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
-        seen[at] += grad * grad
-        x[at] += rate * grad / np.sqrt(seen[at])
+        now = seen.take(at, axis=0)
+        now += grad * grad
+        seen[at] = now
+        np.sqrt(now, out=now)
+        np.divide(grad, now, out=now)
+        now *= np.float32(rate)
+        now += x.take(at, axis=0)
+        x[at] = now
 
     total, share = 0, np.cumsum(noise_p)
     share /= share[-1]
     for one, two, word in streams:
         drawn = np.searchsorted(share, rng.random((len(word) // batch + 1, noise)), side="right")
+        both = np.stack((one, two + k))
         for at in range(0, len(word), batch):
-            a, b, w = one[at : at + batch], two[at : at + batch], word[at : at + batch]
+            ab, w = both[:, at : at + batch], word[at : at + batch]
             fake, n = drawn[at // batch], len(w)
-            q, met, sham = model.query(a, b), model.out[w], model.out[fake]
+            q, met, sham = context.take(ab[0], axis=0), model.out.take(w, axis=0), model.out.take(fake, axis=0)
+            q += context.take(ab[1], axis=0)
             real = np.einsum("ij,ij->i", q, met) + model.bias[w] - log_noise[w]
             drawn_as = q @ sham.T + (model.bias[fake] - log_noise[fake])
-            up = (1 / (1 + np.exp(np.clip(real, -30, 30))) / n).astype(np.float32)
-            down = (-1 / (1 + np.exp(np.clip(-drawn_as, -30, 30))) / n).astype(np.float32)
+            # what is left to learn of true words, and what noise is taken for, by the logistic function
+            with np.errstate(over="ignore"):
+                up, down = _logistic(-real), _logistic(drawn_as)
+            up *= np.float32(1 / n)
+            down *= np.float32(-1 / n)
             gq = up[:, None] * met + down @ sham
-            go = np.concatenate((np.column_stack((up[:, None] * q, up)), np.column_stack((down.T @ q, down.sum(0)))))
-            step(model.first, past[0], *_gathered(a, gq))
-            step(model.second, past[1], *_gathered(b, gq))
-            at_out, go = _gathered(np.concatenate((w, fake)), go)
-            step(model.out, past[2], at_out, go[:, :-1])
-            step(model.bias, past[3], at_out, go[:, -1])
+            go = np.concatenate((up[:, None] * q, down.T @ q))
+            # short numbers are sorted by their digits
+            index = ab.ravel().astype(small)
+            order = np.argsort(index, kind="stable")
+            step(context, past[0], *_summed(index[order], gq.take(order % n, axis=0)))
+            index = np.concatenate((w, fake)).astype(small)
+            order = np.argsort(index, kind="stable")
+            step(model.out, past[1], *_summed(index[order], go.take(order, axis=0)))
+            step(model.bias, past[2], *_summed(index[order], np.concatenate((up, down.sum(0)))[order]))
             total += n
+    model.first[...], model.second[...] = context[:k], context[k:]
     return total
 
 
