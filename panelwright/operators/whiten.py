@@ -1,16 +1,24 @@
-"""Removal of changing volatility."""
+"""Whitening through time: rolling deviation, and conditional volatility."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import ASSET, over
+from ..functions.stats import ASSET
 from ..plans.errors import ConfigurationError
+from .volatility import KINDS, fit_many
 
 WINDOW, MIN_SEEN, MIN_OBS = 20, 10, 50
+#: Orders that configurations may ask for.
+ORDERS = range(6)
+
+#: A model of one's own: a series without missing values to residuals over deviations and an AIC, or None to leave it.
+VolatilityModel = Callable[[np.ndarray], tuple[np.ndarray, float] | None]
 
 
 def rolling_whiten(panel: DataFrame, window: int = WINDOW, min_seen: int = MIN_SEEN) -> DataFrame:
@@ -20,67 +28,57 @@ def rolling_whiten(panel: DataFrame, window: int = WINDOW, min_seen: int = MIN_S
     return panel.withColumn("value", F.col("value") / F.nullif(sd, F.lit(0.0)))
 
 
-def conditional_variance(e: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """Rows of variances for pairs of parameters; omega keeps the long-run variance at the sample's."""
-    level = float(np.mean(e * e))
-    out = np.empty((len(alpha), len(e)))
-    out[:, 0] = level
-    for t in range(1, len(e)):
-        out[:, t] = (1 - alpha - beta) * level + alpha * e[t - 1] ** 2 + beta * out[:, t - 1]
-    return out
-
-
-def fit_garch(x: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, dict]:
-    """Standardised residuals of a GARCH(1,1) with constant mean under a normal likelihood.
-
-    Variance targeting leaves alpha and beta, searched on a grid that is refined
-    around the best point; all its points share one pass over time.
-    """
-    e = x - x.mean()
-    if not np.any(e):
-        return np.full(len(x), np.nan), {"alpha": 0.0, "beta": 0.0, "aic": np.nan}
-    ca, cb, step = 0.25, 0.5, 0.24
-    for _ in range(rounds):
-        a, b = (g.ravel() for g in np.meshgrid(ca + step * np.linspace(-1, 1, 9), cb + 2 * step * np.linspace(-1, 1, 9)))
-        fits = (a >= 0) & (b >= 0) & (a + b < 0.9995)
-        a, b = a[fits], b[fits]
-        var = np.maximum(conditional_variance(e, a, b), 1e-300)
-        like = -0.5 * (np.log(2 * np.pi) + np.log(var) + e * e / var).sum(axis=1)
-        k = int(like.argmax())
-        ca, cb, step, best, sigma = a[k], b[k], step / 3, like[k], np.sqrt(var[k])
-    return e / sigma, {"alpha": float(ca), "beta": float(cb), "aic": float(8 - 2 * best)}
-
-
-def _whitened(pdf: pd.DataFrame, min_obs: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("date")
-    held = pdf["value"].notna()
-    x = pdf.loc[held, "value"].to_numpy(float)
-    pdf["aic"] = np.nan
-    if len(x) >= min_obs:
-        z, fit = fit_garch(x)
-        if not np.isnan(z).all():
-            pdf.loc[held, "value"] = z
-            pdf["aic"] = fit["aic"]
-    return pdf
-
-
-def garch_whiten(panel: DataFrame, vol: str = "Garch", p: int = 1, q: int = 1, min_obs: int = MIN_OBS, with_aic: bool = False) -> DataFrame:
+def fit_garch(x: np.ndarray, vol: str = "Garch", p: int = 1, q: int = 1) -> tuple[np.ndarray, dict]:
+    """One series' residuals over conditional deviations, and its fit; NaN where it is constant."""
+    fit = fit_many([np.asarray(x, float)], vol, p, q)[0]
+    if fit is None:
+        return np.full(len(x), np.nan), {"alpha": [0.0] * p, "beta": [0.0] * q, "aic": np.nan}
+    return fit.pop("z"), fit
+
+
+def _fitted(vol: str, p: int, q: int, model: VolatilityModel | None) -> Callable:
+    """A function of batches of series, which it fits together, to their residuals and AICs; null where there is no fit."""
+
+    def fit(series: pd.Series) -> pd.DataFrame:
+        values = [np.asarray([] if s is None else s, float) for s in series]
+        held = [~np.isnan(v) for v in values]
+        dense = [v[h] for v, h in zip(values, held)]
+        if model is None:
+            fits = [f and (f["z"], f["aic"]) for f in fit_many(dense, vol, p, q)]
+        else:
+            fits = [model(d) if len(d) else None for d in dense]
+        z, aic = [], []
+        for v, h, f in zip(values, held, fits):
+            out = np.full(len(v), np.nan)
+            if f is not None:
+                out[h] = f[0]
+            z.append(None if f is None or np.isnan(out).all() else out)
+            aic.append(None if z[-1] is None else float(f[1]))
+        return pd.DataFrame({"z": pd.Series(z, dtype=object), "aic": pd.Series(aic, dtype=float)})
+
+    return F.pandas_udf(fit, "z array<double>, aic double")
+
+
+def garch_whiten(
+    panel: DataFrame, vol: str = "Garch", p: int = 1, q: int = 1, min_obs: int = MIN_OBS, with_aic: bool = False, model: VolatilityModel | None = None
+) -> DataFrame:
     """Residuals over conditional volatility, per asset; an asset with too few values, or a constant one, stays as it is.
 
-    The recursion is sequential in time, so each asset's own series is one group of
-    a grouped pandas function; series too short for it do not leave the JVM.
+    ``p`` counts lags of the squared residual, ``q`` those of the variance; ``vol`` is
+    Garch, EGarch or GJR-Garch (with one asymmetric lag). ``model`` replaces the fit.
+
+    The recursion is sequential in time. Each asset's values are one array, and Python
+    sees batches of arrays, fitted together; all other columns stay in the JVM. One
+    asset's rows must fit a row.
     """
-    if (vol, p, q) != ("Garch", 1, 1):
-        raise ConfigurationError("only Garch with p = q = 1 is available", context={"vol": vol, "p": p, "q": q})
-    counted = panel.withColumn("__n", F.count("value").over(over(*ASSET)))
-    kinds = {f.name: f.dataType.simpleString() for f in panel.schema}
-    schema = ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", aic double"
-
-    def whiten(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _whitened(pdf, min_obs)
-
-    long = counted.where(F.col("__n") >= min_obs).drop("__n").groupBy(*ASSET).applyInPandas(whiten, schema)
-    short = counted.where(F.col("__n") < min_obs).drop("__n").withColumn("aic", F.lit(None).cast("double"))
-    long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).withColumn("aic", F.when(~F.isnan("aic"), F.col("aic")))
-    out = long.select(*panel.columns, "aic").union(short.select(*panel.columns, "aic"))
-    return out if with_aic else out.drop("aic")
+    if model is None and (vol not in KINDS or p not in ORDERS or q not in ORDERS or p == q == 0):
+        raise ConfigurationError("no such volatility model", context={"vol": vol, "p": p, "q": q, "known": KINDS})
+    rest = [c for c in panel.columns if c not in ASSET and c != "date"]
+    by = panel.groupBy(*ASSET).agg(F.array_sort(F.collect_list(F.struct("date", *rest))).alias("rows"))
+    values = F.transform("rows", lambda r: r["value"])
+    enough = F.size(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))) >= min_obs
+    by = by.withColumn("fit", _fitted(vol, p, q, model)(F.when(enough, values)))
+    z = F.coalesce(F.col("fit.z"), F.array().cast("array<double>"))
+    new = F.zip_with("rows", z, lambda r, v: r.withField("value", F.coalesce(F.when(~F.isnan(v), v), r["value"])))
+    out = by.select(*ASSET, F.col("fit.aic").alias("aic"), F.explode(new).alias("row"))
+    return out.select(*[c if c in ASSET else F.col("row")[c].alias(c) for c in panel.columns], *["aic"] * with_aic)

@@ -31,6 +31,9 @@ class RouterConfig:
     kurt_threshold: float = 5.0
     enable_garch: bool = False
     garch_min_obs: int = 50
+    garch_vol: str = "Garch"
+    garch_p: int = 1
+    garch_q: int = 1
     decorrelation_strength: float = 1.0
     max_ar_order: int = 5
     ar_criterion: str = "aic"
@@ -68,7 +71,7 @@ class MixedChain(Chain):
 
 def static_pipeline(c: RouterConfig | None = None) -> Chain:
     c = c or RouterConfig()
-    garch = [Garch("garch", min_obs=c.garch_min_obs)] if c.enable_garch else []
+    garch = [Garch("garch", vol=c.garch_vol, p=c.garch_p, q=c.garch_q, min_obs=c.garch_min_obs)] if c.enable_garch else []
     return Chain([Impute(), Tame("outlier", c.outlier_method), Reshape("transformation", c.transform_method), *garch, Neutralize(), Standardize("standardization")])
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.decouple import decouple, decouple_summary
 from ..operators.impute import apply_fills, fit_medians, impute
@@ -163,26 +164,40 @@ class Neutralize(Stateless):
         return super().get_stats() | {"skipped": self.skipped}
 
 
-class Garch(PipelineStep):
-    """Volatility whitening; refitted on what it transforms."""
+class Refitted(PipelineStep):
+    """A step that is refitted on what it transforms."""
 
-    def fit(self, panel: DataFrame, **kwargs: Any) -> Garch:
+    def fit(self, panel: DataFrame, **kwargs: Any) -> Refitted:
         self.fitted = True
         return self
 
+
+class Garch(Refitted):
+    """Volatility whitening."""
+
     def transform(self, panel: DataFrame, **kwargs: Any) -> DataFrame:
         return garch_whiten(panel, **self.params)
 
+    def _fits(self, panel: DataFrame) -> DataFrame:
+        return garch_whiten(panel, **self.params, with_aic=True).groupBy("factor", "asset").agg(F.max("aic").alias("aic"))
+
     def mean_aic(self, panel: DataFrame) -> DataFrame:
-        return garch_whiten(panel, **self.params, with_aic=True).select("factor", "asset", "aic").distinct().groupBy("factor").agg({"aic": "avg"}).withColumnRenamed("avg(aic)", "mean_aic")
+        return self._fits(panel).groupBy("factor").agg(F.avg("aic").alias("mean_aic"))
+
+    def get_stats(self, panel: DataFrame | None = None) -> dict[str, Any]:
+        """With a panel also the figures of its fits, which takes a job; assets left out are counted, not listed."""
+        if panel is None:
+            return super().get_stats()
+        row = self._fits(panel).agg(F.count("aic").alias("fitted_models"), F.count_if(F.col("aic").isNull()).alias("skipped_columns"), F.avg("aic").alias("average_aic")).first()
+        return super().get_stats() | row.asDict()
 
 
-class RollingWhiten(Garch):
+class RollingWhiten(Refitted):
     def transform(self, panel: DataFrame, **kwargs: Any) -> DataFrame:
         return rolling_whiten(panel, **self.params)
 
 
-class Decouple(Garch):
+class Decouple(Refitted):
     def transform(self, panel: DataFrame, **kwargs: Any) -> DataFrame:
         return decouple(panel, **self.params)
 
