@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ASSET, DATE, average_rank, sample_kurtosis, sample_skew
+from .quantiles import panel_quantiles
 
 #: The gate's limits on skewness and kurtosis.
 SKEW_LIMIT, KURT_LIMIT = 2.0, 5.0
@@ -48,8 +49,8 @@ def cross_sections(panel: DataFrame) -> DataFrame:
 
 def divergence(panel: DataFrame, bins: int = 10) -> DataFrame:
     """(factor, js_divergence_mean): Jensen-Shannon divergence of consecutive dates' histograms, bins cut at the factor's quantiles."""
-    held = panel.where("value IS NOT NULL").select("factor", "date", F.round("value", 9).alias("v"))
-    cuts = held.groupBy("factor").agg(F.percentile("v", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("cuts"))
+    held = panel.where("value IS NOT NULL").select("factor", "date", "asset", F.round("value", 9).alias("v"))
+    cuts = panel_quantiles(held, [k / bins for k in range(1, bins)], "v").select("factor", F.array(*[f"q{k}" for k in range(bins - 1)]).alias("cuts"))
     binned = held.join(cuts, "factor").select("factor", "date", F.size(F.filter("cuts", lambda c: F.round(c, 9) < F.col("v"))).alias("bin"))
     n = F.count("*").cast("double")
     shares = binned.groupBy(*DATE).agg(*[(F.count_if(F.col("bin") == k) / n).alias(f"p{k}") for k in range(bins)])

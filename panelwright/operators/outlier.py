@@ -6,34 +6,37 @@ all cells of the factor, by a small fit table that is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ASSET, clip, over, quantile
 from ..plans.errors import ConfigurationError
+from .quantiles import panel_quantiles
 
 #: Consistency of the median absolute deviation with the normal's deviation.
 MAD_SCALE = 1.4826
 METHODS = ("auto", "winsorize", "percentile", "z_score", "iqr", "mad", "adaptive", "sigmoid")
 
 
-def _bounds(method: str, threshold: float, lower: float, upper: float) -> tuple[Column, Column]:
-    """Aggregates for the bounds of a method that needs one pass."""
+def _panel_bounds(panel: DataFrame, method: str, threshold: float, lower: float, upper: float) -> DataFrame:
+    """(factor, __low, __high) from all cells of a factor."""
     if method == "z_score":
-        return F.avg("value") - threshold * F.stddev_samp("value"), F.avg("value") + threshold * F.stddev_samp("value")
+        mean, reach = F.avg("value"), threshold * F.stddev_samp("value")
+        return panel.groupBy("factor").agg((mean - reach).alias("__low"), (mean + reach).alias("__high"))
     if method == "iqr":
-        low, high = quantile(F.col("value"), 0.25), quantile(F.col("value"), 0.75)
-        return low - 1.5 * (high - low), high + 1.5 * (high - low)
-    return quantile(F.col("value"), lower), quantile(F.col("value"), upper)
+        low, high, reach = F.col("q0"), F.col("q1"), 1.5 * (F.col("q1") - F.col("q0"))
+        return panel_quantiles(panel, (0.25, 0.75)).select("factor", (low - reach).alias("__low"), (high + reach).alias("__high"))
+    return panel_quantiles(panel, (lower, upper)).select("factor", F.col("q0").alias("__low"), F.col("q1").alias("__high"))
 
 
 def _center(panel: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Adds __med and __mad."""
     if keys == ASSET:
         return panel.withColumn("__med", F.median("value").over(over(*keys))).withColumn("__mad", F.median(F.abs(F.col("value") - F.col("__med"))).over(over(*keys)))
-    med = panel.groupBy(*keys).agg(F.median("value").alias("__med"))
-    joined = panel.join(med, list(keys))
-    return joined.join(joined.groupBy(*keys).agg(F.median(F.abs(F.col("value") - F.col("__med"))).alias("__mad")), list(keys))
+    med = panel_quantiles(panel, (0.5,)).withColumnRenamed("q0", "__med")
+    joined = panel.join(med, list(keys), "left")
+    away = joined.withColumn("__away", F.abs(F.col("value") - F.col("__med")))
+    return joined.join(panel_quantiles(away, (0.5,), "__away").withColumnRenamed("q0", "__mad"), list(keys), "left")
 
 
 def tame(panel: DataFrame, method: str = "auto", threshold: float = 3.0, lower: float | None = None, upper: float | None = None, scope: str = "asset") -> DataFrame:
@@ -56,7 +59,7 @@ def tame(panel: DataFrame, method: str = "auto", threshold: float = 3.0, lower:
                 new = F.when(F.col("__mad") > 0, new).otherwise(clip(value, F.col("__med") - sd, F.col("__med") + sd))
         return held.withColumn("value", new).drop("__med", "__mad")
     default = (0.05, 0.95) if method in ("auto", "winsorize") else (0.01, 0.99)
-    low, high = _bounds(method, threshold, default[0] if lower is None else lower, default[1] if upper is None else upper)
+    lower, upper = default[0] if lower is None else lower, default[1] if upper is None else upper
     if keys == ASSET:
         w = over(*keys)
         if method == "z_score":
@@ -65,9 +68,9 @@ def tame(panel: DataFrame, method: str = "auto", threshold: float = 3.0, lower:
         if method == "iqr":
             q1, q3 = quantile(value, 0.25).over(w), quantile(value, 0.75).over(w)
             return panel.withColumn("value", clip(value, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))
-        return panel.withColumn("value", clip(value, low.over(w), high.over(w)))
-    fit = panel.groupBy(*keys).agg(low.alias("__low"), high.alias("__high"))
-    return panel.join(fit, list(keys)).withColumn("value", clip(value, F.col("__low"), F.col("__high"))).drop("__low", "__high")
+        return panel.withColumn("value", clip(value, quantile(value, lower).over(w), quantile(value, upper).over(w)))
+    fit = _panel_bounds(panel, method, threshold, lower, upper)
+    return panel.join(fit, list(keys), "left").withColumn("value", clip(value, F.col("__low"), F.col("__high"))).drop("__low", "__high")
 
 
 def fit_sigma_bounds(panel: DataFrame, sigmas: float = 3.0) -> DataFrame:

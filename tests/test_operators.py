@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import classify, decouple, fingerprint, impute, monitor, neutralize, outlier, standardize, transform, whiten
+from panelwright.operators import classify, decouple, fingerprint, impute, monitor, neutralize, outlier, quantiles, standardize, transform, whiten
 from panelwright.operators.volatility import fit_many
 from panelwright.plans.errors import ConfigurationError, FactorTypeError, NeutralizationError
 from panelwright.plans.steps import Garch
@@ -105,6 +105,39 @@ def test_outliers(panel, wide):
         outlier.tame(panel, "magic")
 
 
+@pytest.mark.parametrize("rate", [1, 4, quantiles.RATE])
+def test_panel_quantiles(spark, rate):
+    rng = np.random.default_rng(5)
+    wide = {"normal": rng.normal(size=4000), "heavy": rng.standard_cauchy(size=3000), "hot": np.where(rng.random(3000) < 0.4, 1.0, rng.normal(size=3000)), "one": np.array([2.5]), "same": np.full(900, -3.0)}
+    rows = [(f, dt.date(2020, 1, 1) + dt.timedelta(days=k // 50), str(k % 50), float(v)) for f, x in wide.items() for k, v in enumerate(x)]
+    rows += [(f, dt.date(2030, 1, 1), "0", None) for f in (*wide, "none")]
+    x = spark.createDataFrame(rows, panels.PANEL)
+    qs = (0.0, 0.01, 0.25, 0.5, 0.95, 1.0)
+    found = {r.factor: list(r[1:]) for r in quantiles.panel_quantiles(x, qs, rate=rate).collect()}
+    assert set(found) == set(wide)
+    for f, v in wide.items():
+        np.testing.assert_allclose(found[f], np.quantile(v, qs), rtol=1e-12, atol=1e-12)
+
+
+def test_panel_quantiles_part_a_factor(spark):
+    x = spark.range(20000).select(F.lit("f").alias("factor"), F.to_date(F.lit("2020-01-01")).alias("date"), F.col("id").cast("string").alias("asset"), F.pow("id", F.lit(2.0)).alias("value"))
+    ends = np.array([-1.0, *quantiles._cuts(x.select("factor", F.col("value").alias("v")), 16).first().cuts, 20000.0**2])
+    assert len(ends) == quantiles.STRETCHES + 1 and np.diff(np.sqrt(np.maximum(ends, 0))).max() < 20000 / 16
+    assert quantiles.panel_quantiles(x, (0.5,), rate=16).first().q0 == (9999.0**2 + 10000.0**2) / 2
+    assert quantiles.panel_quantiles(x.limit(0), (0.5,)).count() == 0
+
+
+@pytest.mark.parametrize("method", ["percentile", "iqr", "mad", "z_score"])
+def test_outliers_by_panel(panel, wide, method):
+    v = wide.to_numpy()[~np.isnan(wide.to_numpy())]
+    q, med = np.quantile(v, [0.01, 0.25, 0.75, 0.99]), np.median(v)
+    mad, iqr, sd = 2 * 1.4826 * np.median(np.abs(v - med)), 1.5 * (q[2] - q[1]), 2 * v.std(ddof=1)
+    low, high = {"percentile": (q[0], q[3]), "iqr": (q[1] - iqr, q[2] + iqr), "mad": (med - mad, med + mad), "z_score": (v.mean() - sd, v.mean() + sd)}[method]
+    out = outlier.tame(panel, method, threshold=2.0, scope="panel").toPandas()
+    np.testing.assert_allclose(np.sort(out.value.dropna()), np.sort(np.clip(v, low, high)), rtol=1e-9)
+    assert len(out) == wide.size
+
+
 def test_sigma_bounds_are_those_of_fit(panel, wide):
     early = wide.iloc[:20]
     fit = outlier.fit_sigma_bounds(panel.where(F.col("date") <= early.index[-1]), 1.0)
