@@ -433,3 +433,12 @@ def test_empty_panel(spark):
     e = spark.createDataFrame([], SCHEMA + ", industry string, known boolean, mcap double")
     for f in (impute.impute, outlier.tame, standardize.standardize, neutralize.neutralize, whiten.rolling_whiten, whiten.garch_whiten, transform.reshape, decouple.ar_residual):
         assert f(e).isEmpty()
+
+
+def test_wide_frames_in_blocks_keep_all_cells(spark):
+    rows = [("f", d, a, v) for d in (dt.date(2020, 1, 1), dt.date(2020, 2, 1)) for a, v in (("a", 1.0), ("b", None), (None, 3.0), ("a", 1.0), ("c", 4.0))]
+    panel = spark.createDataFrame(rows, panels.PANEL)
+    wide = panels.pivot_blocks(panel, block=2)
+    assert wide.select("block").distinct().count() == 2
+    assert sorted(map(repr, panels.unpivot_blocks(wide).collect())) == sorted(map(repr, panel.collect()))
+    assert panels.pivot_blocks(panel.limit(0)).count() == 0
