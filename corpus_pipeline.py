@@ -29,12 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Near duplicates share four fifths of their five-word shingles (Jaccard similarity
-    of 0.8 or more).  SimHash fingerprints within four bits miss most of these, see
-    the README; so candidates come from min-hash bands and are compared exactly.
+    Near duplicates have SimHash fingerprints within four bits, as in ``op8``, found
+    through its vantage-point tree; or they share four fifths of their five-word
+    shingles (Jaccard similarity of 0.8 or more), which fingerprints mostly miss, see
+    the README: their candidates come from min-hash bands and are compared exactly.
     Rows that share an id but not a text are documents of their own.
     """
-    return nearcopies.keep_one(docs)
+    return nearcopies.keep_one(docs, radius=4)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Near copies by the Jaccard similarity of their shingles.
+"""Near copies by SimHash and by the Jaccard similarity of their shingles.
 
-SimHash fingerprints can't find them: texts of similarity 0.8 differ in about ten
-of 64 bits, and at such a radius no triangle bound prunes.  So texts are collapsed
-to distinct normalised ones, and min-hashes in bands find candidates, which are
-compared exactly.  With 24 bands of five hashes a pair of similarity 0.8 shares
-none in 7 of 100,000 cases.
+Texts are collapsed to distinct normalised ones.  Those whose SimHash fingerprints
+differ in few bits are linked first, through the vantage-point tree of ``simhash``,
+as they are there.  Most texts of similarity 0.8 differ in about ten of 64 bits,
+and at such a radius no triangle bound prunes; so what fingerprints miss is found
+by min-hashes in bands and compared exactly.  With 24 bands of five hashes a pair
+of similarity 0.8 shares none in 7 of 100,000 cases.
 
 A band's key makes a block of texts.  First each text meets the hub of each of its
 blocks, the member that shares most with all others: copies of one original all
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, raw, written
-from .simhash import components
+from .simhash import components, fingerprint
+from .simhash import links as alike
 
 BANDS, ROWS = 24, 5
 #: Shingles min-hashed at a time.
@@ -74,7 +76,8 @@ def _prints(batches, id_col: str, text_col: str, size: int):
     for b in batches:
         texts = [normal(t) for t in raw(b, text_col)]
         keys = [bands(shingles(t, size)) for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_col)), pa.array([name_of(t) for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "u", "keys"])
+        fp = np.frombuffer(b"".join(map(fingerprint, texts)), ">i8").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_col)), pa.array([name_of(t) for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fp)], ["doc_id", "u", "keys", "fp"])
 
 
 def _named(batches, text_col: str):
@@ -148,12 +151,21 @@ def _rows_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return known.unionByName(lost)
 
 
-def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _printed(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) that join all texts whose fingerprints are within ``radius``, one text standing for each fingerprint."""
+    points = written(nodes.groupBy("fp").agg(F.min("u").alias("lead")))
+    equal = nodes.select("fp", "u").join(points, "fp").where("u != lead").select("u", F.col("lead").alias("v"))
+    one, two = (points.select(F.col("fp").alias(n), F.col("lead").alias(f"{n}_text")) for n in "uv")
+    near = alike(points, radius).join(one, "u").join(two, "v").select(F.col("u_text").alias("u"), F.col("v_text").alias("v"))
+    return written(equal.union(near))
+
+
+def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(u, first) of the text of each group that holds its smallest id: the text's hash and that id, null if no text has one."""
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = docs.select(id_col, text_col).mapInArrow(partial(_prints, id_col=id_col, text_col=text_col, size=shingle), f"doc_id {kind}, u long, keys array<long>")
-    # a text's copies have equal keys, so any will do
-    nodes = written(prints.groupBy("u").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
+    prints = docs.select(id_col, text_col).mapInArrow(partial(_prints, id_col=id_col, text_col=text_col, size=shingle), f"doc_id {kind}, u long, keys array<long>, fp long")
+    # a text's copies have equal keys and fingerprints, so any will do
+    nodes = written(prints.groupBy("u").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
     label = nodes.select("u", F.struct(F.col("first").isNull().alias("lost"), "first", "u").alias("label"))
     once = nodes.select("u", F.explode("keys").alias("key"))
     # small tables are written, so that joins read plain exchanges, whose hot keys can be split
@@ -173,6 +185,8 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_co
         return written(near.select("u", "v", "found", "other").mapInArrow(partial(_similar, least=least), "u long, v long"))
 
     edges = verified(led)
+    if radius is not None:
+        edges = edges.union(_printed(nodes, radius))
     roots = checkpointed(components(edges))
     placed = members.join(roots, F.col("u") == F.col("node"), "left").select("key", "u", "n", F.coalesce("root", "u").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"), F.max("n").alias("n"))
@@ -199,14 +213,15 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_co
     return nodes.join(gone, "u", "left_anti").select("u", "first")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group that links of Jaccard similarity ``least`` or more join: that of the smallest id.
 
-    All columns stay.  Texts that differ in case of A-Z or white space alone are
+    With ``radius``, SimHash fingerprints (four-word shingles) of at most so many
+    differing bits are links, too.  All columns stay.  Texts that differ in case of A-Z or white space alone are
     copies.  Rows that share an id but not a text are documents of their own; of a
     group whose ids are all null, one row stays; of rows equal in id and text one,
     whichever.  Null and empty texts are alike.  A text shorter than a shingle is
     one; long texts are compared whole.  An empty table gives no rows; of the
     columns' names only ``__u``, ``__first`` and ``__name`` are reserved.
     """
-    return _rows_of(docs, written(representatives(docs, shingle, least, id_col, text_col)), id_col, text_col).select(*docs.columns)
+    return _rows_of(docs, written(representatives(docs, shingle, least, radius, id_col, text_col)), id_col, text_col).select(*docs.columns)

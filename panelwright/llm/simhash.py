@@ -210,6 +210,19 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def links(nodes: DataFrame, radius: int = 4, min_levels: int = 6, shard_points: int = 16_384, leaf_sample: int = 64, most_sample: int = 1 << 20) -> DataFrame:
+    """Pairs (u, v) of a table's distinct fingerprints ``fp`` that join all within ``radius``: a forest of each shard of the vantage-point tree."""
+    n = nodes.count()
+    levels = max(min_levels, math.ceil(math.log2(max(1, n / shard_points))))
+    sample = min(leaf_sample << levels, most_sample)
+    # some of many prints, by their hash; at least a leaf's worth of any number
+    drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 32)))
+    seen = np.sort(nodes.where(drawn).select("fp").limit(2 * sample).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
+    tree = build_tree(seen, levels)
+    shards = nodes.select("fp").mapInArrow(partial(_route, nodes=tree, radius=radius), "shard int, fp long, native boolean")
+    return checkpointed(shards.groupBy("shard").applyInPandas(_forest(radius), "u long, v long"))
+
+
 def near_duplicates(
     docs: DataFrame, radius: int = 4, shingle: int = 4, min_levels: int = 6, shard_points: int = 16_384, leaf_sample: int = 64, most_sample: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -226,15 +239,7 @@ def near_duplicates(
     kind = docs.schema[id_col].dataType.simpleString()
     prints = checkpointed(docs.select(id_col, text_col).mapInArrow(partial(_fingerprints, id_col=id_col, text_col=text_col, size=shingle), f"doc_id {kind}, fp long"))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    n = nodes.count()
-    levels = max(min_levels, math.ceil(math.log2(max(1, n / shard_points))))
-    sample = min(leaf_sample << levels, most_sample)
-    # some of many prints, by their hash; at least a leaf's worth of any number
-    drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 32)))
-    seen = np.sort(nodes.where(drawn).select("fp").limit(2 * sample).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
-    tree = build_tree(seen, levels)
-    shards = nodes.select("fp").mapInArrow(partial(_route, nodes=tree, radius=radius), "shard int, fp long, native boolean")
-    edges = checkpointed(shards.groupBy("shard").applyInPandas(_forest(radius), "u long, v long"))
+    edges = links(nodes, radius, min_levels, shard_points, leaf_sample, most_sample)
     # nodes are ordered by their smallest id, so a component's root names it and nothing is gathered by component
     label = nodes.select("fp", F.struct(F.col("first").isNull().alias("lost"), "first", "fp").alias("label"))
     ends = edges.join(label, F.col("u") == F.col("fp")).select(F.col("label").alias("a"), "v").join(label, F.col("v") == F.col("fp")).select(F.col("a").alias("u"), F.col("label").alias("v"))

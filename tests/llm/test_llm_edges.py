@@ -330,3 +330,28 @@ def test_pipeline_drops_near_copies(spark, sf, docs_of):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [7, 7, *stay]
     assert len({r.text.lower() for r in kept if r.doc_id == 7}) == 2
     assert [r.text for r in kept if r.doc_id is None] == ["no id at all"]
+
+
+def test_near_dedup_goes_through_vantage_points(spark, sf, docs_of, monkeypatch):
+    """Texts whose fingerprints are within four bits, though their similarity is below 0.8, are copies of the stage; others stay."""
+    import corpus_pipeline
+    from panelwright.llm import nearcopies
+
+    rng, rows, far = np.random.default_rng(8), [], 0
+    close = lambda a, b: int.from_bytes(simhash.fingerprint(a.encode())) ^ int.from_bytes(simhash.fingerprint(b.encode()))
+    while len(rows) < 8:
+        words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40)]
+        # a passage that occurs twice weighs more in a fingerprint than in a set
+        one = " ".join(words[:8] * 12 + words)
+        two = " ".join(words[:8] * 12 + words[:20] + words[30:])
+        sets = [nearcopies.shingles(nearcopies.normal(t.encode()), 5) for t in (one, two)]
+        if nearcopies.jaccard(*sets) < 0.8 and close(one, two).bit_count() <= 4:
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+        else:
+            far += 1
+            assert far < 1000
+    calls, links = [], nearcopies.alike
+    monkeypatch.setattr(nearcopies, "alike", lambda *a: calls.append(a) or links(*a))
+    docs = docs_of([*rows, (100, "a text of its own that has no copy here")])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [0, 2, 4, 6, 100] and len(calls) == 1
+    assert nearcopies.keep_one(docs).count() == 9
