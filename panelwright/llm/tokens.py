@@ -3,8 +3,10 @@
 The vocabulary lower-cases, drops white space and splits between letter,
 digit and punctuation runs, so the ids of a text are those of its
 white-space-separated chunks in order.  Chunks repeat, ids are looked up.
-A chunk of Latin-1 letters that may end in stops or commas is looked up by its
-parts; any other goes through the tokenizer itself.
+A chunk of Latin-1 letters, digits and ASCII marks is looked up by its parts, which
+are the vocabulary's own: runs of letters, single digits, runs of marks.  Any
+other goes through the tokenizer itself, as do apostrophes, which may start a part
+of their own, and what may be a special token.
 """
 
 from __future__ import annotations
@@ -14,13 +16,17 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from .common import hold
+from .common import dealt_words, ends_of, hold, uncollected
 
 #: Entries of each of two generations of the cache of chunks, and of that of their parts.
 CACHE, PARTS = 300_000, 700_000
-#: A chunk as lower-case Latin-1 letters (one part, in normal form), stops and commas, and what is neither.
-SPLIT = re.compile(r"([a-zß-öø-ÿ]*+)([.,]*+)(.*+)\n")
+#: A chunk as Latin-1 letters (one part, in normal form), ASCII marks but apostrophes (one part), and what is neither.
+SPLIT = re.compile(r"([a-zß-öø-ÿÀ-ÖØ-Þ]*+)([!-&(-/:-@\[-`{-~]*+)(.*+)\n")
+#: Chunks of several such parts, and the parts.
+PLAIN = re.compile(r"[a-zß-öø-ÿÀ-ÖØ-Þ0-9!-&(-/:-@\[-`{-~]++")
+PARTS_OF = re.compile(r"[a-zß-öø-ÿÀ-ÖØ-Þ]++|[0-9]|[!-&(-/:-@\[-`{-~]++")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,6 +58,10 @@ class WordTokenizer:
         self.old: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        """Empty the caches."""
+        self.young, self.old, self.parts = {}, {}, {}
+
     def _learn_plain(self, cores: list[str]) -> None:
         for at in range(0, len(cores), 2000):
             some = cores[at : at + 2000]
@@ -71,32 +81,50 @@ class WordTokenizer:
             for t, e in zip(some, self.full.encode_batch_fast(some, add_special_tokens=False)):
                 self.parts[t] = np.array(e.ids, "<u2").tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Put chunks into the cache: from its older half, from their parts, or from the tokenizer."""
-        known, old, parts = self.young, self.old, self.parts
-        for w in chunks & old.keys():
-            known[w] = old[w]
-        rest = list(chunks - known.keys())
+    def _learn(self, rest: list[bytes]) -> list[bytes]:
+        """The ids of chunks that no cache holds: from their parts, or from the tokenizer."""
+        parts = self.parts
         if len(parts) > PARTS:
             parts.clear()
         split = SPLIT.findall(b"\n".join(rest).decode("utf-8", "replace") + "\n")
-        core_new, whole_new = {}, {}
+        core_new, whole_new, pieces = {}, {}, []
         for core, tail, more in split:
-            if more or not core or self.fast is None:
-                whole_new[core + tail + more] = None
-            else:
+            if core and not more and self.fast:
+                core = core if core in parts else core.lower()  # Latin-1 letters have one small form each
                 if core not in parts:
                     core_new[core] = None
                 if tail and tail not in parts:
                     whole_new[tail] = None
+                pieces.append((core, tail) if tail else (core,))
+            elif self.fast and "<|" not in (chunk := core + tail + more) and PLAIN.fullmatch(chunk):
+                pieces.append(found := PARTS_OF.findall(chunk.lower()))
+                for x in found:
+                    if x not in parts:
+                        (core_new if x.isalpha() else whole_new)[x] = None
+            else:
+                if (chunk := core + tail + more) not in parts:
+                    whole_new[chunk] = None
+                pieces.append((chunk,))
         self._learn_plain(list(core_new))
         self._learn_whole(list(whole_new))
-        for w, (core, tail, more) in zip(rest, split):
-            if more or not core or self.fast is None:
-                known[w] = parts[core + tail + more]
-            else:
-                known[w] = parts[core] + parts[tail] if tail else parts[core]
-
+        return [parts[x[0]] if len(x) == 1 else b"".join([parts[y] for y in x]) for x in pieces]
+
+    def _known(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct chunks, in their order, from a cache's younger half, its older one, or learned."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        found = dict(zip(chunks, map(self.young.get, chunks)))
+        new = [w for w, x in found.items() if x is None]
+        if new:
+            held = dict(zip(new, map(self.old.get, new)))
+            rest = [w for w, x in held.items() if x is None]
+            if rest:
+                held.update(zip(rest, self._learn(rest)))
+            found.update(held)
+            self.young.update(held)
+        return found
+
+    @uncollected()
     def ids(self, texts: list[bytes]) -> list[bytes]:
         out, at = [], 0
         while at < len(texts):
@@ -104,18 +132,15 @@ class WordTokenizer:
             while end < len(texts) and size < 1 << 20:
                 size += len(texts[end])
                 end += 1
-            if len(self.young) > CACHE:
-                self.young, self.old = {}, self.young
             # white space and A-Z don't matter to the vocabulary, but for special tokens, which are written as they are
-            chunks = [(t if b"<|" in t else t.lower()).split() for t in texts[at:end]]
-            get = self.young.get
-            found = [list(map(get, c)) for c in chunks]
-            gaps = [k for k, f in enumerate(found) if None in f]
-            if gaps:
-                self._learn({w for k in gaps for w, x in zip(chunks[k], found[k]) if x is None})
-                for k in gaps:
-                    found[k] = list(map(get, chunks[k]))
-            out += map(b"".join, found)
+            words, index, size = dealt_words([t if b"<|" in t else t.lower() for t in texts[at:end]])
+            data, ends = ends_of(words)
+            data, ends = data.tobytes(), ends.tolist()
+            known = self._known([data[a:b] for a, b in zip(ends, ends[1:])])
+            # each occurrence's ids, end to end
+            data, ends = ends_of(pa.array(list(known.values()), pa.large_binary()).take(pa.array(index)))
+            stops = ends[np.concatenate(([0], np.cumsum(size)))].tolist()
+            out += [data[a:b].tobytes() for a, b in zip(stops, stops[1:])]
             at = end
         return out
 
@@ -128,7 +153,7 @@ def load(path: str) -> WordTokenizer:
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     found = _LOADED[path]
-    hold("tokens", *[cache for t in _LOADED.values() for cache in (t.young, t.old, t.parts)])
+    hold("tokens", *_LOADED.values())
     return found
 
 

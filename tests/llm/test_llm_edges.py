@@ -4,6 +4,7 @@ import io
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +356,33 @@ def test_near_dedup_goes_through_vantage_points(spark, sf, docs_of, monkeypatch)
     docs = docs_of([*rows, (100, "a text of its own that has no copy here")])
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [0, 2, 4, 6, 100] and len(calls) == 1
     assert nearcopies.keep_one(docs).count() == 9
+
+
+def test_words_dealt_by_arrow():
+    from panelwright.llm.common import dealt_words
+
+    texts = [b"", b" \n", b" a b a", b"a\x0b\x0cb\t\r\n", b"c\x1cd \xc2\x85 e\x00f", "é x  y".encode(), b"one"]
+    for some in (texts, texts[2:3], texts[:2], []):
+        words, index, size = dealt_words(some)
+        found = [words[i].as_py() for i in index.tolist()]
+        assert found == [w for t in some for w in t.split()] and size.tolist() == [len(t.split()) for t in some]
+        assert len(set(words.to_pylist())) == len(words) and b"" not in words.to_pylist()
+
+
+def test_word_codes_by_table():
+    words = [b"a", b"bc", b"xyz", b"\n", "é".encode(), b"unseen", b"z"]
+    head = lm.Head({w: k for k, w in enumerate(words[:5])}, np.arange(5, 0, -1), 2, np.ones(18), 15, 5)
+    rank, cls = head.coded(pa.array(words, pa.binary()))
+    assert ((rank + 1) * head.classes + cls).tolist() == [head.codes()[w] for w in words]
+
+
+def test_chunks_of_letters_digits_and_marks_skip_the_tokenizer(monkeypatch):
+    from panelwright.llm import tokens
+
+    made = tokens.WordTokenizer(tokens.vocabulary())
+    texts = ["Été$$$ abc%%% a-b_c.24@mail1.example.com https://x.org/?q=1&r=2 12,500.00 ÀÉ### (so) e=mc2!", "don't 's it's a'b <|endoftext|> <|x 中文 ½ é"]
+    want = [np.array(made.full.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    whole, learn = [], made._learn_whole
+    monkeypatch.setattr(made, "_learn_whole", lambda found: whole.extend(found) or learn(found))
+    assert made.ids([texts[0].encode()]) == want[:1] and not any(c.isalpha() for w in whole for c in w)
+    assert made.ids([t.encode() for t in texts]) == want
