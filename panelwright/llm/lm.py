@@ -27,15 +27,18 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hold, id_crc, raw
+from .common import checkpointed, dealt_words, ends_of, hold, id_crc, raw
 
 #: The token at each text's end; words hold no line end, so it is no word.
 TEXT_END = b"\n"
 SMOOTH = 0.1
+#: CRC-32 of one byte and of two.
+CRC = np.array([zlib.crc32(bytes([a])) for a in range(256)], np.int64), np.array([[zlib.crc32(bytes([a, b])) for b in range(256)] for a in range(256)], np.int64)
 #: Log-partition values of contexts, by worker.
 _PARTITION: dict = {}
 
@@ -82,11 +85,18 @@ class Head:
         return self.mass / self.mass.sum()
 
     def codes(self) -> Codes:
-        """The codes of words, kept with this head in a worker."""
-        if not hasattr(self, "_codes"):
-            self._codes = Codes(self)
-        hold("lm", self._codes, _PARTITION)
-        return self._codes
+        """The codes of words, one by one."""
+        return Codes(self)
+
+    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks, -1 for words out of the head, and classes of a binary array of words."""
+        if not hasattr(self, "_words"):
+            self._words = pa.array(list(self.index), pa.binary())
+        rank = pc.fill_null(pc.index_in(words, value_set=self._words), -1).to_numpy().astype(np.int64)
+        data, ends = ends_of(words)
+        last, size = data[ends[1:] - 1], np.diff(ends)
+        crc = np.where(size > 1, CRC[1][data[np.maximum(ends[1:] - 2, 0)], last], CRC[0][last])
+        return rank, np.where((rank >= 0) & (rank < self.plain), rank, self.plain + crc % (self.classes - self.plain))
 
     @property
     def end(self) -> int:
@@ -94,14 +104,12 @@ class Head:
 
 
 class Codes(dict):
-    """Word -> (rank + 1) * classes + class, rank -1 for words out of the head; kept words are dropped when there are many."""
+    """Word -> (rank + 1) * classes + class, rank -1 for words out of the head."""
 
     def __init__(self, head: Head):
         self.index, self.plain, self.classes = head.index, head.plain, head.classes
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
         rank = self.index.get(word, -1)
         cls = rank if 0 <= rank < self.plain else self.plain + zlib.crc32(word[-2:]) % (self.classes - self.plain)
         self[word] = code = (rank + 1) * self.classes + cls
@@ -203,19 +211,23 @@ def train(model: Model, streams, noise_p: np.ndarray, noise: int = 64, batch: in
 
 
 def _classed(texts: list[bytes], head: Head):
-    """(words, ranks with -1 for words out of the head, classes, classes one and two back, lengths) of texts laid end to end."""
-    found, codes = [tokens(t) for t in texts], head.codes()
-    get = codes.__getitem__
-    code = np.array([get(w) for x in found for w in x], np.int64)
-    lengths = np.array([len(x) for x in found])
-    rank, cls = code // head.classes - 1, code % head.classes
-    one = np.concatenate(([head.end], cls[:-1]))
-    two = np.concatenate(([head.end], one[:-1]))
+    """(words, each token's index in them, ranks with -1 for words out of the head, classes, classes one and two back, lengths) of texts laid end to end."""
+    hold("lm", _PARTITION)
+    words, index, size = dealt_words([t.lower() for t in texts])
+    words, lengths = pa.concat_arrays([words, pa.array([TEXT_END], pa.binary())]), size + 1
     starts = np.cumsum(lengths) - lengths
-    one[starts] = two[starts] = head.end
+    at = np.full(int(lengths.sum()), len(words) - 1)
+    inner = np.ones(len(at), bool)
+    inner[starts + size] = False
+    at[inner] = index
+    ranks, classes = head.coded(words)
+    rank, cls, end = ranks[at], classes[at], classes[-1]
+    one = np.concatenate(([end], cls[:-1]))
+    two = np.concatenate(([end], one[:-1]))
+    one[starts] = two[starts] = end
     longer = starts[lengths > 1] + 1
-    two[longer] = head.end
-    return found, rank, cls, one, two, lengths
+    two[longer] = end
+    return words, at, rank, cls, one, two, lengths
 
 
 def _chunks(batches, size: int = 1 << 21):
@@ -235,7 +247,7 @@ def _trained(batches, head, start: np.ndarray, noise_p: np.ndarray):
 
     def streams():
         for _, texts in _chunks(batches):
-            _, _, cls, one, two, _ = _classed(texts, head.value)
+            *_, cls, one, two, _ = _classed(texts, head.value)
             yield one, two, cls
 
     n = train(model, streams(), noise_p)
@@ -264,7 +276,7 @@ def _scored(batches, head, rows: np.ndarray):
     key = xxhash.xxh3_128_digest(rows.tobytes())
     log_c, log_mass = np.log10(h.counts + SMOOTH), np.log10(h.mass)
     for b, texts in _chunks(batches):
-        found, rank, cls, one, two, lengths = _classed(texts, h)
+        words, at, rank, cls, one, two, lengths = _classed(texts, h)
         logit = np.einsum("ij,ij->i", model.query(one, two), model.out[cls]) + model.bias[cls] - _partitions(model, key, one, two)
         known = rank >= 0
         count = np.where(known, log_c[np.maximum(rank, 0)] if len(log_c) else 0.0, 0.0)
@@ -272,18 +284,18 @@ def _scored(batches, head, rows: np.ndarray):
         inner = count - log_mass[cls] + logit.astype(np.float64) / math.log(10)
         starts = np.cumsum(lengths) - lengths
         total = lambda x: np.add.reduceat(x, starts)
-        sparse, tails, at = np.flatnonzero(~known), [], 0
+        # each text's words out of the head and how often it has them
+        sparse = np.flatnonzero(~known)
         owner = np.searchsorted(starts, sparse, side="right") - 1
-        for k, (x, s) in enumerate(zip(found, starts.tolist())):
-            end = np.searchsorted(owner, k, side="right")
-            tails.append(list(Counter(x[i - s] for i in sparse[at:end].tolist()).items()))
-            at = end
+        each, times = np.unique(owner * len(words) + at[sparse], return_counts=True)
+        tail = pa.StructArray.from_arrays([words.take(pa.array(each % len(words))), pa.array(times, pa.int64())], ["word", "n"])
+        stops = np.searchsorted(each, np.arange(len(texts) + 1) * len(words))
         uid = [xxhash.xxh3_128_digest(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("held_out")), pa.array(uid, pa.binary()), pa.array(lengths, pa.int64()),
                 pa.array(total(known.astype(np.int64)), pa.int64()), pa.array(total(count)), pa.array(total(inner)),
-                pa.array([[{"word": w, "n": n} for w, n in x] for x in tails], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                pa.ListArray.from_arrays(pa.array(stops, pa.int32()), tail),
             ],
             ["doc_id", "held_out", "uid", "n_tokens", "head_known", "head_base", "head_score", "tail"],
         )
