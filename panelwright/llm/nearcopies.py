@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, raw, written
+from .common import checkpointed, hold, raw, written
 from .simhash import components, fingerprint
 from .simhash import links as alike
 
@@ -73,6 +73,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _prints(batches, id_col: str, text_col: str, size: int):
+    hold("nearcopies")
     for b in batches:
         texts = [normal(t) for t in raw(b, text_col)]
         keys = [bands(shingles(t, size)) for t in texts]
