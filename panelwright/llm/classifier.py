@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, id_crc, raw
+from .common import given_back, hold, id_crc, raw
 from .lm import TEXT_END, frequent, word_counts
 
 #: Words with vectors of their own, groups of rarer words, shapes, numbers in a vector.
@@ -161,10 +161,13 @@ def word_vectors(texts: DataFrame, head: int = HEAD, window: int = 2) -> tuple[H
     shared = texts.sparkSession.sparkContext.broadcast(known)
     names = [f"v{i}" for i in range(DIM)]
     runs = texts.select("text").mapInArrow(partial(_contexts, head=shared, window=window), "row int, " + ", ".join(f"{n} long" for n in names))
-    got = runs.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    context = np.zeros((known.rows, DIM), np.float32)
-    context[got["row"].to_numpy(int)] = got[names].to_numpy(np.float32)
-    return known, context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+    # the driver has one copy of the sums, by column, and of the vectors
+    got = runs.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    context, row = np.zeros((known.rows, DIM), np.float32), got.column("row").to_numpy()
+    for i, n in enumerate(names):
+        context[row, i] = got.column(n).to_numpy().astype(np.float32)
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+    return known, context
 
 
 def pooled(texts: list[bytes], head: Head, vectors: np.ndarray) -> np.ndarray:
@@ -201,7 +204,8 @@ class Network:
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 9) -> None:
         """Adam on the log loss."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        z, rng = (x - self.mean) / self.scale, np.random.default_rng(seed)
+        z, rng = x - self.mean, np.random.default_rng(seed)
+        z /= self.scale
         m, v, t = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts], 0
         for _ in range(epochs):
             order = rng.permutation(len(z))
@@ -247,12 +251,14 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, sample: int = SAMPLE):
     # at most `sample` rows of two numbers, so small enough to send to every task; one row of each id comes back
     texts = docs.join(F.broadcast(known), "doc_id").select("y", F.col("doc_id").alias("k"), "text")
     rows = texts.mapInArrow(partial(_featured, head=head, vectors=vectors), f"y int, k {docs.schema['doc_id'].dataType.simpleString()}, x array<float>")
-    rows = rows.groupBy("k").agg(F.min("x").alias("x"), F.min("y").alias("y")).toPandas()
+    got = rows.groupBy("k").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow()
     net = Network(2 * DIM + 3)
-    if len(rows):
-        rows = rows.sort_values("k")
+    if len(got):
+        rows = got.select(["k", "y"]).to_pandas().sort_values("k")
         rows = rows.iloc[np.argsort([zlib.crc32(str(k).encode()) for k in rows["k"]], kind="stable")]
-        x, y = np.stack(rows["x"].map(np.asarray)).astype(float), rows["y"].to_numpy(float)
+        # numbers of all rows as one array: as lists they'd take several times the memory
+        x, y = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(got), -1)[rows.index].astype(float), rows["y"].to_numpy(float)
+        del got
         aside = np.arange(len(x)) % 8 == 0 if len(x) >= 16 else np.zeros(len(x), bool)
         net.fit(x[~aside], y[~aside])
         check = aside if aside.any() else ~aside
@@ -276,6 +282,7 @@ def score(docs: DataFrame, labels: DataFrame, columns: list[str], mod: int = 5,
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     head, vectors, net = fit(plain, labels, mod, sample)
+    given_back()  # what the driver needed for the fit
     # renamed by place, so that an input column may have any name
     columns = list(columns)
     kept = [f"c{k}" for k in range(len(columns))]

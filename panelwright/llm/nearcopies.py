@@ -36,6 +36,8 @@ BANDS, ROWS = 24, 5
 BLOCK = 1024
 #: Texts of a block up to which its members meet as pairs, and of each side of a tile on average.
 SMALL, TILE = 32, 256
+#: Links up to which one task joins them all; more are joined by rounds of exchanges.
+FEW = 1 << 20
 _draw = np.random.default_rng(17).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 ODD, FLIP = _draw[0] | np.uint32(1), _draw[1]
 
@@ -188,7 +190,7 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
     edges = verified(led)
     if radius is not None:
         edges = edges.union(_printed(nodes, radius))
-    roots = checkpointed(components(edges))
+    roots = checkpointed(components(edges, few=FEW))
     placed = members.join(roots, F.col("u") == F.col("node"), "left").select("key", "u", "n", F.coalesce("root", "u").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"), F.max("n").alias("n"))
     # in each block that is not one part: its largest part, and what is beside it
@@ -210,7 +212,7 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
     wide = written(dealt.mapInArrow(partial(_tiles, least=least), "u long, v long"))
     # the smallest label of a group is that of the document to keep
     every = edges.union(far).union(wide).join(label, "u").select(F.col("label").alias("a"), F.col("v").alias("u")).join(label, "u").select(F.col("a").alias("u"), F.col("label").alias("v"))
-    gone = components(every).where("node != root").select("node.u")
+    gone = components(every, few=FEW).where("node != root").select("node.u")
     return nodes.join(gone, "u", "left_anti").select("u", "first")
 
 

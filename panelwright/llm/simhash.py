@@ -23,6 +23,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from .common import checkpointed, raw
 
 #: Shingles hashed and counted at a time, so that long texts need bounded memory.
 BLOCK = 1 << 16
+#: Types that Arrow sorts as Spark does.
+ORDERED = {"boolean", "tinyint", "smallint", "int", "bigint", "string", "date"}
 #: Pairs compared at a time in a shard.
 TILE = 1 << 21
 
@@ -178,12 +181,42 @@ def _forest(radius: int):
     return linked
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def ranks(nodes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each value among the distinct ones, and a place where each of these stands; in structs, nulls come first."""
+    parts = nodes.flatten() if pa.types.is_struct(nodes.type) else [nodes]
+    names = [str(k) for k in range(len(parts))]
+    order = pc.sort_indices(pa.table(parts, names), [(n, "ascending") for n in names], null_placement="at_start")
+    new = np.zeros(max(len(nodes) - 1, 0), bool)
+    for part in parts:
+        a, b = part.take(order[:-1]), part.take(order[1:])
+        alike = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        new |= ~alike.to_numpy(zero_copy_only=False)
+    order, new = order.to_numpy(), np.concatenate((np.ones(min(len(nodes), 1), bool), new))
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, order[new]
+
+
+def _united(batches):
+    """(node, root) of a whole edge list."""
+    held = [(b.column(0), b.column(1)) for b in batches]
+    if not held:
+        return
+    ends = pa.concat_arrays([a for a, _ in held] + [b for _, b in held])
+    rank, at = ranks(ends)
+    label = unite(np.arange(len(at)), rank[: len(rank) // 2], rank[len(rank) // 2 :])
+    for k in range(0, len(at), 1 << 14):
+        yield pa.RecordBatch.from_arrays([ends.take(pa.array(at[k : k + (1 << 14)])), ends.take(pa.array(at[label[k : k + (1 << 14)]]))], ["node", "root"])
+
+
+def components(edges: DataFrame, max_rounds: int = 64, few: int = 0) -> DataFrame:
     """(node, root) for each node of an undirected edge list (u, v), by alternating star contraction.
 
     Nodes are of any type with an order; a root is the smallest node of its
     component.  Rounds grow with the logarithm of the nodes; RuntimeError if
-    ``max_rounds`` were too few.
+    ``max_rounds`` were too few.  Up to ``few`` distinct links are joined by one
+    task instead, with the same result and without the rounds' stages, if nodes are
+    of the ``ORDERED`` types or structs of these.
     """
 
     def large(e: DataFrame) -> DataFrame:
@@ -199,6 +232,9 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     edges = checkpointed(edges.where("u != v").distinct())
     n = edges.count()
+    kind = edges.schema["u"].dataType
+    if 0 < n <= few and {f.dataType.simpleString() for f in getattr(kind, "fields", [edges.schema["u"]])} <= ORDERED:
+        return edges.coalesce(1).mapInArrow(_united, f"node {kind.simpleString()}, root {kind.simpleString()}")
     for _ in range(max_rounds if n else 0):
         last, before, edges = edges, n, checkpointed(small(large(edges)))
         n = edges.count()

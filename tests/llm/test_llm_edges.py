@@ -2,6 +2,7 @@
 
 import io
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,41 @@ def test_components(spark):
         simhash.components(spark.createDataFrame(chain, "u long, v long"), max_rounds=1)
 
 
+def test_components_of_few_links(spark, docs_of, monkeypatch):
+    """One task joins few links as the rounds do, for nodes of any kind; near dedup's driver then sees no rounds."""
+    from panelwright.llm import nearcopies
+
+    rng = np.random.default_rng(3)
+    node = "struct<lost:boolean,first:string,u:bigint>"
+    names = [(False, x, int(k)) for x in ("", "a", "B", "é", "\U00010000", "\uffff", "ab") for k in range(-6, 6)] + [(True, None, k) for k in range(-6, 6)]
+    for kind, some in (("long", list(range(-50, 50))), ("string", [x + str(k) for _, x, k in names[:84]]), (node, names)):
+        pairs = [(some[a], some[b]) for a, b in rng.integers(0, len(some), (len(some) // 2, 2))]
+        edges = spark.createDataFrame(pairs, f"u {kind}, v {kind}")
+        want = sorted(map(str, simhash.components(edges).collect()))
+        assert len(want) > 20 and sorted(map(str, simhash.components(edges, few=1000).collect())) == want
+        assert sorted(map(str, simhash.components(edges, few=3).collect())) == want
+    assert simhash.components(spark.createDataFrame([], "u long, v long"), few=9).isEmpty()
+    rounds, one = [], nearcopies.components
+    monkeypatch.setattr(nearcopies, "components", lambda edges, **k: rounds.append("MapInArrow" in (got := one(edges, **k))._jdf.queryExecution().toString()) or got)
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs_of([(3, base), (1, base.upper()), (2, base + " more"), (7, "another text")])).collect()) == [1, 7]
+    assert rounds == [True, True]
+
+
+def test_classifier_driver_memory(spark, sf, docs_of):
+    """The driver holds the features of labelled rows as numbers, not as lists of objects."""
+    docs = docs_of([(k, f"word{k % 7} and word{k % 11} of a text") for k in range(6000)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6000)], "doc_id long, quality int")
+    classifier.fit(docs, labels)  # imports and caches
+    tracemalloc.start()
+    try:
+        classifier.fit(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 6000 * 131 * 8 * 4, most
+
+
 def test_hilbert_is_one_walk():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = packing.hilbert(grid, 3)
